@@ -48,6 +48,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, small: DataFrame, on, how: str = "left", most: int = 100_000) -> DataFrame:
+    """Join with a table of few rows, one for each source or site: counted, and broadcast only up to
+    ``most`` rows; beyond, Spark joins by key and splits hot keys at run time."""
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drops input columns whose names an operator's own output columns take (case ignored)."""
     taken = {n.lower() for n in names}
