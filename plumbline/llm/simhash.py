@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .bpe import slices
-from .common import checkpointed, text_bytes, without
+from .common import checkpointed, stored, text_bytes, without
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 50_000
@@ -233,15 +234,15 @@ def components(edges: DataFrame) -> DataFrame:
 def component_of(
     rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = 3
 ) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of the rows."""
+    """(fp, root, component_id) of every distinct fingerprint of the rows; the root is the least
+    fingerprint of the component."""
     prints = checkpointed(
         rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least_id"))
     )
     roots = components(links(prints, radius))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    # a root is a fingerprint of its own component, so only linked ones need the least id of others
     members = roots.select("node", "root").unionByName(
         roots.select(F.col("root").alias("node"), "root").distinct()
     )
@@ -251,7 +252,7 @@ def component_of(
         .agg(F.min("least_id").alias("component_id"))
     )
     return rooted.join(least, "root", "left").select(
-        "fp", F.coalesce("component_id", "least_id").alias("component_id")
+        "fp", "root", F.coalesce("component_id", "least_id").alias("component_id")
     )
 
 
@@ -272,3 +273,46 @@ def near_duplicates(
     return rows.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    seed: int = 42,
+    radius: int = 3,
+    most: int = 500_000,
+) -> DataFrame:
+    """The rows of ``df`` with one row of each component left: that of the least id.
+
+    The rows are stored once with their fingerprints; what is to go is decided on ids and
+    fingerprints alone and taken out by place in the stored files, broadcast only if it
+    is no more than ``most`` places.
+    """
+    rows = stored(with_fingerprint(df, text_col, "_fingerprint", width, seed))
+    placed = rows.select(
+        F.col(id_col).alias("id"),
+        F.col("_fingerprint").alias("own"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
+    found = component_of(rows, id_col, "_fingerprint", radius).select("fp", "root")
+    first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "_file", "_row")
+    stays = (
+        placed.join(found, placed.own == found.fp)
+        .withColumn("rank", F.row_number().over(first))
+        .filter("rank = 1")
+        .select("_file", "_row")
+    )
+    gone = checkpointed(
+        placed.select("_file", "_row").join(stays, ["_file", "_row"], "left_anti")
+    )
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    located = rows.select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    return located.join(gone, ["_file", "_row"], "left_anti").select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
