@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, without
+from .common import WORD, checkpointed, joined, without
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -93,13 +93,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
 def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with their whole copies and Pareto key; the plan has a row for each source."""
-    joined = rows.join(plan, rows.source.eqNullSafe(plan.source_key), "left")
+    table = joined(rows, plan, rows.source.eqNullSafe(plan.source_key))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = joined.withColumn("whole", F.floor(expected).cast("long")).withColumn(
+    table = table.withColumn("whole", F.floor(expected).cast("long")).withColumn(
         "p", expected - F.col("whole")
     )
     u = uniform(F.col("key"))
-    return joined.withColumn(
+    return table.withColumn(
         "pareto",
         F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))),
     )
@@ -133,10 +133,11 @@ def mixing_plan(
     edge = checkpointed(edge)
     place = F.struct("pareto", "key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
     in_bin = (
-        drawn.withColumnRenamed("bin", "own_bin")
-        .join(
+        joined(
+            drawn.withColumnRenamed("bin", "own_bin"),
             edge,
             F.col("source_key").eqNullSafe(F.col("edge_key")) & (F.col("own_bin") == F.col("bin")),
+            "inner",
         )
         .withColumn("place", place)
         .withColumn(
@@ -158,8 +159,11 @@ def mixing_plan(
             "edge_key", "bin", "before", "cut", "sampled"
         )
     )
-    left = drawn.withColumnRenamed("bin", "own_bin").join(
-        cuts, F.col("source_key").eqNullSafe(F.col("edge_key"))
+    left = joined(
+        drawn.withColumnRenamed("bin", "own_bin"),
+        cuts,
+        F.col("source_key").eqNullSafe(F.col("edge_key")),
+        "inner",
     )
     gap = F.col("lacking") - F.coalesce("sampled", "before")
     closing = (
