@@ -36,9 +36,12 @@ from .common import without
 
 #: Most cached pre-tokens (in each of two generations) and transducer moves of a Python
 #: worker; caches that are full are emptied, so memory is bounded and results are the same.
-CACHED_PIECES = 200_000
-CACHED_MOVES = 600_000
+CACHED_PIECES = 60_000
+CACHED_MOVES = 300_000
+CACHED_PAIRS = 60_000
 NEVER = 1 << 60
+#: How a move packs the next state and what it emits.
+TOKEN, SEVERAL = 1 << 28, 1 << 30
 
 
 @lru_cache(maxsize=4)
@@ -89,28 +92,34 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.hypotheses: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
-        self.states: dict[tuple, int] = {}
-        self.moves: dict[int, tuple] = {}
+        self.sets: list[bytes] = []
+        self.states: dict[bytes, int] = {}
+        self.moves: dict[int, int] = {}
+        self.several: list[tuple[int, ...]] = []
         self._state([(0, -1, ())])  # state 0: nothing read yet
 
+    def release(self) -> None:
+        self._compatible.clear()
+        self._reset()
+
     def _state(self, alive: list[tuple]) -> int:
-        numbers = []
-        for hypothesis in alive:
-            n = self.numbers.get(hypothesis)
-            if n is None:
-                n = self.numbers[hypothesis] = len(self.hypotheses)
-                self.hypotheses.append(hypothesis)
-            numbers.append(n)
-        key = tuple(numbers)
+        """Number of a set of hypotheses (trie node, last token, tokens not yet emitted)."""
+        flat = [x for node, last, pending in alive for x in (node, last, len(pending), *pending)]
+        key = struct.pack(f"{len(flat)}i", *flat)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = len(self.sets)
             self.sets.append(key)
         return found
 
+    def _hypotheses(self, state: int):
+        flat = memoryview(self.sets[state]).cast("i").tolist()
+        i = 0
+        while i < len(flat):
+            end = i + 3 + flat[i + 2]
+            yield flat[i], flat[i + 1], tuple(flat[i + 3 : end])
+            i = end
+
     def _spines(self, token: int):
         """The parts of a token at its left and right edge while it is merged from bytes,
         smallest first, each with the rank of the merge that ends it."""
@@ -162,16 +171,19 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-        if len(self._compatible) >= self.max_moves:
+        if len(self._compatible) >= CACHED_PAIRS:
             self._compatible.clear()
         self._compatible[key] = known
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple:
-        """Determinises one move: (tokens that all surviving guesses agree on, next state)."""
+    def _advance(self, state: int, byte: int) -> int:
+        """Determinises one move: the next state and, above ``TOKEN``, what is emitted.
+
+        Emitted are the tokens that all surviving guesses agree on: one plus the token, or, from
+        ``SEVERAL`` on, a place in the list of longer outputs.
+        """
         alive = []
-        for n in self.sets[state]:
-            node, last, pending = self.hypotheses[n]
+        for node, last, pending in self._hypotheses(state):
             step = self.children[node].get(byte)
             if step is None:
                 continue
@@ -187,10 +199,13 @@ class Transducer:
         shortest = min([len(h[2]) for h in alive])
         while agreed < shortest and all([h[2][agreed] == first[agreed] for h in alive]):
             agreed += 1
-        emitted = first[:agreed]
-        if agreed:
-            alive = [(n, t, p[agreed:]) for n, t, p in alive]
-        move = self.moves[state << 8 | byte] = (emitted, self._state(alive))
+        move = self._state([(n, t, p[agreed:]) for n, t, p in alive] if agreed else alive)
+        if agreed == 1:
+            move += (first[0] + 1) * TOKEN
+        elif agreed:
+            self.several.append(first[:agreed])
+            move += (SEVERAL + len(self.several) - 1) * TOKEN
+        self.moves[state << 8 | byte] = move
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -204,11 +219,15 @@ class Transducer:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._advance(state, byte)
-            emitted, state = move
-            if emitted:
-                out.extend(emitted)
-        for n in self.sets[state]:
-            node, _, pending = self.hypotheses[n]
+            if move < TOKEN:
+                state = move
+                continue
+            emitted, state = divmod(move, TOKEN)
+            if emitted < SEVERAL:
+                out.append(emitted - 1)
+            else:
+                out.extend(self.several[emitted - SEVERAL])
+        for node, _, pending in self._hypotheses(state):
             if node == 0:
                 out.extend(pending)
                 return out
@@ -317,6 +336,11 @@ class Codec:
         known = self.pieces
         return b"".join([known[p] for p in self.split(text)])
 
+    def release(self) -> None:
+        """Empties the caches at the end of a task, so that an idle worker holds the vocabulary only."""
+        self.pieces = _Pieces(self.machine)
+        self.machine.release()
+
     def ids(self, text: str) -> list[int]:
         return memoryview(self.encode(text)).cast("I").tolist()
 
@@ -362,6 +386,7 @@ def encode_texts(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, ids], names=[*part.schema.names, ids_col]
                 )
+        own.release()
 
     return kept.mapInArrow(run, schema)
 
@@ -422,5 +447,6 @@ def round_trip(
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        own.release()
 
     return source.mapInArrow(run, schema)

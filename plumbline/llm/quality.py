@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import checkpointed, without
+from .common import checkpointed, joined, without
 from .labels import labelled_sample
 
 #: Labelled documents of each class that the classifier is fitted on at most.
@@ -195,21 +195,12 @@ def judge(
     texts, marks, share = labelled_sample(df, labels, label_col, id_col, text_col, sample)
     model = fit_shape(texts, marks, share)
     record = without(df, OUT)
-    sites = [F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")]
-    scored = with_evidence(df.select(*sites, F.col(text_col).alias("text")), model).drop("text")
-    table, mean = site_table(scored)
-    rows = with_evidence(
-        record.select(
-            F.struct(*[F.col(f"`{c}`") for c in record.columns]).alias("_record"),
-            *sites,
-            F.col(text_col).alias("text"),
-        ),
-        model,
-    ).drop("text")
-    joined = rows.join(
-        table,
-        rows.host.eqNullSafe(table.site_host) & rows.path.eqNullSafe(table.site_path),
-        "left",
+    sites = {"_host": F.col(host_col).cast("string"), "_path": F.col(path_col).cast("string")}
+    narrow = df.select(*[c.alias(n[1:]) for n, c in sites.items()], F.col(text_col).alias("text"))
+    table, mean = site_table(with_evidence(narrow, model).drop("text"))
+    rows = with_evidence(record.withColumns(sites), model, text_col)
+    both = joined(
+        rows, table, rows._host.eqNullSafe(table.site_host) & rows._path.eqNullSafe(table.site_path)
     )
     own = F.col("evidence")
     host = (F.col("host_s") - own + F.col("to_all") * mean) / (F.col("host_n") - 1 + F.col("to_all"))
@@ -217,8 +208,8 @@ def judge(
     held = lambda x: F.least(F.greatest(x, F.lit(LOWEST)), F.lit(1 - LOWEST))
     odds = lambda x: F.log(x / (1 - x))
     score = 1 / (1 + F.exp(-(odds(held(own)) + odds(held(site)) - odds(F.lit(mean)))))
-    return joined.select(
-        "_record.*",
+    return both.select(
+        *[F.col(f"`{c}`") for c in record.columns],
         "evidence",
         held(host).alias("host_mean"),
         held(site).alias("site_mean"),

@@ -197,5 +197,6 @@ def count_tokens(
                     ],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
+        own.known = _Counts()
 
     return source.mapInArrow(run, schema)
