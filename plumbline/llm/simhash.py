@@ -113,7 +113,8 @@ def stars(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
         root, rest = rest[0], rest[1:]
         todo = [root]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= radius
+            # counted without sign: numpy counts the bits of the absolute value
+            near = np.bitwise_count((rest ^ todo.pop()).view(np.uint64)) <= radius
             if near.any():
                 linked = rest[near]
                 rest = rest[~near]
