@@ -11,8 +11,7 @@ itself. The log-odds of the site over the global log-odds are added to the docum
 Sites meet in grouped sums that are combined before the shuffle, so a host with a third of all rows
 is one row for each task.
 
-Defined results: a null or blank text has no evidence of its own and gets the lowest
-probability, like any text without words; texts are taken whole; null hosts and paths are sites
+Defined results: a text without words (null, blank) gets the lowest probability, whatever its site; texts are taken whole; null hosts and paths are sites
 of their own; repeated rows are scored row by row; a null label is no label, and of repeated labels
 the highest holds; without labels of both classes all documents with words get the share of label 1
 (1 without labels); an empty table gives an empty result; input columns named like an output column
@@ -208,6 +207,7 @@ def judge(
     held = lambda x: F.least(F.greatest(x, F.lit(LOWEST)), F.lit(1 - LOWEST))
     odds = lambda x: F.log(x / (1 - x))
     score = 1 / (1 + F.exp(-(odds(held(own)) + odds(held(site)) - odds(F.lit(mean)))))
+    score = F.when(own > LOWEST, score).otherwise(F.least(score, F.lit(LOWEST)))  # no site saves it
     return both.select(
         *[F.col(f"`{c}`") for c in record.columns],
         "evidence",
