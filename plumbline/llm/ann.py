@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed
-from .vectors import QUERY_CHUNK, best, blocks, query_chunks, usable
+from .vectors import QUERY_CHUNK, best, blocks, empty, query_chunks, usable
 
 SAMPLE = 8192
 LISTS = 2048
@@ -186,7 +186,7 @@ def nearest(
     nonzero = F.exists("v", lambda x: x != 0)
     rows = usable(df, id_col, vector_col).filter(nonzero)
     asked = usable(queries, id_col, vector_col).filter(nonzero)
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = empty(spark, "query_id long, rank int, vec_id long, score double")
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     for length, n in rows.groupBy(F.size("v").alias("n")).count().collect():
         own = rows.filter(F.size("v") == length)
@@ -226,7 +226,7 @@ def nearest(
                     "by_list": {cell: np.array(rows_) for cell, rows_ in by_list.items()},
                 }
                 entries = dealt.mapInArrow(_scan(index, k, epsilon), SCHEMA)
-                entries = entries.unionByName(spark.createDataFrame(first, SCHEMA))
+                entries = entries.unionByName(spark.createDataFrame(first))
                 entries = entries.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
                 ranked = entries.withColumn("rank", F.row_number().over(by_score))
                 ranked = ranked.filter(F.col("rank") <= k)
@@ -253,5 +253,6 @@ def _first_bound(q, matrix, query_ids, base, raw, ids, k: int, most: int = 2048)
         r = top[c, place]
         x, y = raw[r], matrix[i + c]
         scores = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        entries += zip(query_ids[i + c].tolist(), ids[r].tolist(), scores.tolist(), strict=True)
-    return bound, entries
+        entries.append((query_ids[i + c], ids[r], scores))
+    columns = [np.concatenate(x) for x in zip(*entries, strict=True)]
+    return bound, pa.table(columns, names=["query_id", "vec_id", "score"])

@@ -39,7 +39,10 @@ def labelled_sample(
     for mark in (0, 1):
         rows = marks.filter(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id")
         drawn |= {r.doc_id: mark for r in rows.limit(each).collect()}
-    ids = df.sparkSession.createDataFrame([(i,) for i in drawn], "doc_id long")
+    import pyarrow as pa
+
+    # from Arrow, so that no Python worker is started to make the rows
+    ids = df.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(list(drawn), pa.int64())}))
     texts = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .filter(F.octet_length("text") <= LONGEST)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import QUERY_CHUNK, best, blocks, query_chunks, usable
+from .vectors import QUERY_CHUNK, best, blocks, empty, query_chunks, usable
 
 ROWS, QUERIES, PARTS = 2048, 512, 4
 SCHEMA = "query_id long, vec_id long, score long"
@@ -154,7 +154,7 @@ def top_k(
     """``query_id, rank, vec_id, score``: the k candidates of highest score for each query."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = empty(spark, "query_id long, rank int, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     for piece in query_chunks(usable(queries, id_col, vector_col), chunk):
         lists = rows.mapInArrow(_local_lists(piece, k, scale, parts), SCHEMA)

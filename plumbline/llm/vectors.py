@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Queries that are held on the driver and sent to the executors at once.
 QUERY_CHUNK = 8192
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, without a Python worker."""
+    columns = [f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in schema.split(", "))]
+    return spark.range(0).selectExpr(*columns)
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v`` of the rows with an id and a vector without null or non-finite components."""
     limit = float("inf")
