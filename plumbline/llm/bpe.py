@@ -36,9 +36,9 @@ from .common import without
 
 #: Most cached pre-tokens (in each of two generations) and transducer moves of a Python
 #: worker; caches that are full are emptied, so memory is bounded and results are the same.
-CACHED_PIECES = 60_000
-CACHED_MOVES = 300_000
-CACHED_PAIRS = 60_000
+CACHED_PIECES = 160_000
+CACHED_MOVES = 500_000
+CACHED_PAIRS = 100_000
 NEVER = 1 << 60
 #: How a move packs the next state and what it emits.
 TOKEN, SEVERAL = 1 << 28, 1 << 30
