@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import threading
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,10 +35,12 @@ from pyspark.sql import types as T
 
 from .common import without
 
+#: Seconds after which a worker without a task empties its caches.
+IDLE_SECONDS = 2.0
 #: Most cached pre-tokens (in each of two generations) and transducer moves of a Python
 #: worker; caches that are full are emptied, so memory is bounded and results are the same.
-CACHED_PIECES = 160_000
-CACHED_MOVES = 500_000
+CACHED_PIECES = 200_000
+CACHED_MOVES = 600_000
 CACHED_PAIRS = 100_000
 NEVER = 1 << 60
 #: How a move packs the next state and what it emits.
@@ -96,7 +99,7 @@ class Transducer:
         self.states: dict[bytes, int] = {}
         self.moves: dict[int, int] = {}
         self.several: list[tuple[int, ...]] = []
-        self._state([(0, -1, ())])  # state 0: nothing read yet
+        self._state([(0, -1, [])])  # state 0: nothing read yet
 
     def release(self) -> None:
         self._compatible.clear()
@@ -104,7 +107,10 @@ class Transducer:
 
     def _state(self, alive: list[tuple]) -> int:
         """Number of a set of hypotheses (trie node, last token, tokens not yet emitted)."""
-        flat = [x for node, last, pending in alive for x in (node, last, len(pending), *pending)]
+        flat = []
+        for node, last, pending in alive:
+            flat += (node, last, len(pending))
+            flat += pending
         key = struct.pack(f"{len(flat)}i", *flat)
         found = self.states.get(key)
         if found is None:
@@ -182,28 +188,35 @@ class Transducer:
         Emitted are the tokens that all surviving guesses agree on: one plus the token, or, from
         ``SEVERAL`` on, a place in the list of longer outputs.
         """
-        alive = []
-        for node, last, pending in self._hypotheses(state):
-            step = self.children[node].get(byte)
-            if step is None:
-                continue
-            if self.children[step]:
-                alive.append((step, last, pending))
-            token = self.accepts[step]
-            if token >= 0 and self.compatible(last, token):
-                alive.append((0, token, (*pending, token)))
+        alive, children, accepts = [], self.children, self.accepts
+        flat = memoryview(self.sets[state]).cast("i").tolist()
+        i, size, shortest = 0, len(flat), NEVER
+        while i < size:
+            held = flat[i + 2]
+            step = children[flat[i]].get(byte)
+            if step is not None:
+                last, pending = flat[i + 1], flat[i + 3 : i + 3 + held]
+                if children[step]:
+                    alive.append((step, last, pending))
+                    if held < shortest:
+                        shortest = held
+                token = accepts[step]
+                if token >= 0 and self.compatible(last, token):
+                    alive.append((0, token, [*pending, token]))
+                    if held < shortest:
+                        shortest = held + 1
+            i += 3 + held
         if not alive:
             raise ValueError(f"byte {byte} has no token in the vocabulary")
         agreed = 0
         first = alive[0][2]
-        shortest = min([len(h[2]) for h in alive])
         while agreed < shortest and all([h[2][agreed] == first[agreed] for h in alive]):
             agreed += 1
         move = self._state([(n, t, p[agreed:]) for n, t, p in alive] if agreed else alive)
         if agreed == 1:
             move += (first[0] + 1) * TOKEN
         elif agreed:
-            self.several.append(first[:agreed])
+            self.several.append(tuple(first[:agreed]))
             move += (SEVERAL + len(self.several) - 1) * TOKEN
         self.moves[state << 8 | byte] = move
         return move
@@ -330,6 +343,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.bytes_of = self.machine.tokens
         self.pieces = _Pieces(self.machine)
+        self.in_use = InUse(self.release)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -337,13 +351,19 @@ class Codec:
         return b"".join([known[p] for p in self.split(text)])
 
     def release(self) -> None:
-        """Empties the caches at the end of a task, so that an idle worker holds the vocabulary only."""
+        """Empties the caches; what is left is the vocabulary."""
         self.pieces = _Pieces(self.machine)
         self.machine.release()
 
     def ids(self, text: str) -> list[int]:
         return memoryview(self.encode(text)).cast("I").tolist()
 
+    def parts(self, batches):
+        """Slices of the batches of a task."""
+        with self.in_use:
+            for batch in batches:
+                yield from slices(batch)
+
     def decode_bytes(self, ids) -> bytes:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
@@ -356,6 +376,35 @@ class Codec:
         return "".join(out) + machine.finish()
 
 
+class InUse:
+    """While a task runs, its caches stay; a while after the last task of a worker they go, so that
+    idle workers leave their memory to other stages."""
+
+    def __init__(self, release, seconds: float | None = None):
+        self.release = release
+        self.seconds = IDLE_SECONDS if seconds is None else seconds
+        self.lock = threading.RLock()
+        self.tasks = self.turn = 0
+
+    def __enter__(self):
+        with self.lock:
+            self.tasks += 1
+            self.turn += 1
+        return self
+
+    def __exit__(self, *_):
+        with self.lock:
+            self.tasks -= 1
+            timer = threading.Timer(self.seconds, self._idle, [self.turn])
+        timer.daemon = True
+        timer.start()
+
+    def _idle(self, turn: int) -> None:
+        with self.lock:
+            if not self.tasks and self.turn == turn:
+                self.release()
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -377,16 +426,14 @@ def encode_texts(
         import numpy as np
 
         own = codec(path, pattern)
-        for batch in batches:
-            for part in slices(batch):
-                encoded = [own.encode(t or "") for t in part.column(text_col).to_pylist()]
-                offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
-                values = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, ids], names=[*part.schema.names, ids_col]
-                )
-        own.release()
+        for part in own.parts(batches):
+            encoded = [own.encode(t or "") for t in part.column(text_col).to_pylist()]
+            offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
+            values = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, ids], names=[*part.schema.names, ids_col]
+            )
 
     return kept.mapInArrow(run, schema)
 
@@ -429,24 +476,22 @@ def round_trip(
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            for part in slices(batch):
-                counts, of_ids, of_text = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = own.encode(text or "")
-                    counts.append(len(ids) // 4)
-                    of_ids.append(hashlib.sha256(ids).hexdigest())
-                    decoded = own.decode(memoryview(ids).cast("I"))
-                    of_text.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(counts, pa.int64()),
-                        pa.array(of_ids, pa.string()),
-                        pa.array(of_text, pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-        own.release()
+        for part in own.parts(batches):
+            counts, of_ids, of_text = [], [], []
+            for text in part.column("text").to_pylist():
+                ids = own.encode(text or "")
+                counts.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                decoded = own.decode(memoryview(ids).cast("I"))
+                of_text.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(of_ids, pa.string()),
+                    pa.array(of_text, pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import InUse, slices
 
 #: Most cached pre-tokens, in each of two generations; merged pre-tokens of one call.
 CACHED_PIECES = 200_000
@@ -121,6 +121,15 @@ class Counter:
         added.sort(key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.known = _Counts()
+        self.in_use = InUse(self.release)
+
+    def release(self) -> None:
+        self.known = _Counts()
+
+    def parts(self, batches):
+        with self.in_use:
+            for batch in batches:
+                yield from slices(batch, 512)
 
     def _parts(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens and the number of special strings, each of which is a token by itself."""
@@ -183,20 +192,18 @@ def count_tokens(
 
     def run(batches):
         own = counter(path, pattern)
-        for batch in batches:
-            for part in slices(batch, 512):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                counts = np.array(own.count(texts), dtype=np.int64)
-                sizes = [len(t.encode("utf-8")) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(counts),
-                        pa.array(counts > limit),
-                    ],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
-        own.known = _Counts()
+        for part in own.parts(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            counts = np.array(own.count(texts), dtype=np.int64)
+            sizes = [len(t.encode("utf-8")) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(counts),
+                    pa.array(counts > limit),
+                ],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
 
     return source.mapInArrow(run, schema)
