@@ -26,6 +26,19 @@ def union(df: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", sl
     )
 
 
+def _union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Union whose keys pass through it as one struct.
+
+    A union of sides that are both partitioned by key claims that partitioning for itself, and a join above
+    it fails when the engine changes one side's partitions at run time; so the claim is not made.
+    """
+    if not keys:
+        return a.unionByName(b)
+    rest = [c for c in a.columns if c not in keys]
+    packed = [df.select(F.struct(*[F.col(k) for k in keys]).alias("_k"), *rest) for df in (a, b)]
+    return packed[0].unionByName(packed[1]).select("_k.*", *rest)
+
+
 def subtract(base: DataFrame, cut: DataFrame, keys: Sequence[str], slack: float = EPS) -> DataFrame:
     """What of the merged base lies in no cut.
 
@@ -45,8 +58,7 @@ def subtract(base: DataFrame, cut: DataFrame, keys: Sequence[str], slack: float
 
     order = Window.partitionBy(*keys).orderBy("at")
     steps = (
-        events(base, "base")
-        .unionByName(events(cut, "cut"))
+        _union(events(base, "base"), events(cut, "cut"), keys)
         .groupBy(*keys, "at")
         .agg(F.sum("base").alias("base"), F.sum("cut").alias("cut"))
         .select(
@@ -64,7 +76,7 @@ def subtract(base: DataFrame, cut: DataFrame, keys: Sequence[str], slack: float
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], slack: float = EPS) -> DataFrame:
     """Where both lie, of positive length; by events like :func:`subtract`."""
     a, b = union(a, keys, slack=slack), union(b, keys, slack=slack)
-    both = a.select(*keys, "lo", "hi").unionByName(b.select(*keys, "lo", "hi"))
+    both = _union(a.select(*keys, "lo", "hi"), b.select(*keys, "lo", "hi"), keys)
     at = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("d"))))
     order = Window.partitionBy(*keys).orderBy("at")
     steps = (
