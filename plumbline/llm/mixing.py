@@ -4,9 +4,9 @@ Sources share the mix by weight; a target stops at ``cap`` times its source's si
 goes to the others by weight. The expected number of copies of a document is its source's
 target over its size: the whole part is allocated to every document, the rest is its inclusion
 probability p. Documents are ranked by Pareto's ``(u / (1 - u)) / (p / (1 - p))``, u being a seeded
-hash, and are taken in that order while their words fit what the target still lacks. One more
-document closes the gap if it brings the words nearer to the target: the one whose size is nearest to
-it.
+hash, and are taken in that order while their words fit what the target still lacks. The gap that is left,
+less than a document, is closed by up to ``FITS`` further documents, each time the largest that
+fits, and by one more of nearest size if that brings the words nearer to the target.
 
 No source's documents are ordered in one task: a histogram of the key, bounded in size, gives the
 bin in which the target is reached, and only that bin is ranked. Near the target the key is
@@ -30,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BINS = 4096
+FITS = 2
 OUT = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -108,7 +109,7 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mixing_plan(
     rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, bins: int = BINS
 ) -> DataFrame:
-    """For each source its size, target, the last place that is taken and the closing document.
+    """For each source its size, target, the last place that is taken and the closing documents.
 
     ``rows`` has ``doc_id, source, size, key``.
     """
@@ -127,19 +128,18 @@ def mixing_plan(
         histogram.withColumn("upto", running)
         .filter(F.col("upto") > F.col("lacking"))
         .groupBy("source_key")
-        .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-        .select(F.col("source_key").alias("edge_key"), "edge.bin", "edge.before")
+        .agg(
+            F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"),
+            F.max("lacking").alias("wanted"),
+        )
+        .select(F.col("source_key").alias("edge_key"), "edge.bin", "edge.before", "wanted")
     )
     edge = checkpointed(edge)
     place = F.struct("pareto", "key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    drawn = drawn.withColumnRenamed("bin", "own_bin").withColumn("place", place)
+    same = F.col("source_key").eqNullSafe(F.col("edge_key"))
     in_bin = (
-        joined(
-            drawn.withColumnRenamed("bin", "own_bin"),
-            edge,
-            F.col("source_key").eqNullSafe(F.col("edge_key")) & (F.col("own_bin") == F.col("bin")),
-            "inner",
-        )
-        .withColumn("place", place)
+        joined(drawn, edge, same & (F.col("own_bin") == F.col("bin")), "inner")
         .withColumn(
             "upto",
             F.col("before")
@@ -152,36 +152,50 @@ def mixing_plan(
         .filter(F.col("upto") <= F.col("lacking"))
         .groupBy("edge_key")
         .agg(F.max("place").alias("cut"), F.max("upto").alias("sampled"))
-        .withColumnRenamed("edge_key", "cut_key")
+        .withColumnRenamed("edge_key", "other")
     )
-    cuts = checkpointed(
-        edge.join(in_bin, F.col("edge_key").eqNullSafe(F.col("cut_key")), "left").select(
-            "edge_key", "bin", "before", "cut", "sampled"
+    none = F.array().cast("array<struct<pareto:double,key:string,id:bigint>>")
+    state = checkpointed(
+        edge.join(in_bin, F.col("edge_key").eqNullSafe(F.col("other")), "left").select(
+            "edge_key",
+            "bin",
+            "cut",
+            (F.col("wanted") - F.coalesce("sampled", "before")).alias("gap"),
+            none.alias("closing"),
         )
     )
-    left = joined(
-        drawn.withColumnRenamed("bin", "own_bin"),
-        cuts,
-        F.col("source_key").eqNullSafe(F.col("edge_key")),
-        "inner",
-    )
-    gap = F.col("lacking") - F.coalesce("sampled", "before")
-    closing = (
-        left.withColumn("place", place)
-        .filter(
-            (F.col("own_bin") > F.col("bin"))
-            | (F.col("own_bin") == F.col("bin"))
-            & (F.col("cut").isNull() | (F.col("place") > F.col("cut")))
+    for turn in range(FITS + 1):
+        left = joined(drawn, state, same, "inner").filter(
+            (
+                (F.col("own_bin") > F.col("bin"))
+                | (F.col("own_bin") == F.col("bin"))
+                & (F.col("cut").isNull() | (F.col("place") > F.col("cut")))
+            )
+            & (F.col("size") > 0)
+            & ~F.array_contains("closing", F.col("place"))
+        )
+        miss = F.abs(F.col("gap") - F.col("size"))
+        fits = F.col("size") <= F.col("gap") if turn < FITS else miss < F.abs("gap")
+        best = (
+            left.filter(fits)
+            .groupBy(F.col("edge_key").alias("other"))
+            .agg(F.min(F.struct(miss.alias("miss"), "place", "size")).alias("best"))
+        )
+        state = checkpointed(
+            state.join(best, F.col("edge_key").eqNullSafe(F.col("other")), "left").select(
+                "edge_key",
+                "bin",
+                "cut",
+                (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+                F.when(F.col("best").isNull(), F.col("closing"))
+                .otherwise(F.concat("closing", F.array("best.place")))
+                .alias("closing"),
+            )
         )
-        .filter(F.abs(gap - F.col("size")) < F.abs(gap))
-        .groupBy(F.col("edge_key").alias("closing_key"))
-        .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), "place")).alias("best"))
-        .select("closing_key", F.col("best.place").alias("closing"))
-    )
     return checkpointed(
-        base.join(cuts, F.col("source_key").eqNullSafe(F.col("edge_key")), "left")
-        .join(closing, F.col("source_key").eqNullSafe(F.col("closing_key")), "left")
-        .select("source_key", "source_size", "target", F.col("bin").alias("edge_bin"), "cut", "closing")
+        base.join(state, same, "left").select(
+            "source_key", "source_size", "target", F.col("bin").alias("edge_bin"), "cut", "closing"
+        )
     )
 
 
@@ -194,7 +208,7 @@ def _decided(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
         F.col("edge_bin").isNull()
         | (own_bin < F.col("edge_bin"))
         | (own_bin == F.col("edge_bin")) & F.coalesce(place <= F.col("cut"), F.lit(False))
-        | F.coalesce(place == F.col("closing"), F.lit(False))
+        | F.coalesce(F.array_contains("closing", place), F.lit(False))
     )
     copies = F.col("whole") + F.when(F.col("pareto").isNotNull() & sampled, 1).otherwise(0)
     return ranked.withColumn("copies", copies.cast("long")).withColumn(
@@ -280,14 +294,25 @@ WITH docs AS (
 ), gaps AS (
   SELECT *, lacking - coalesce(max(CASE WHEN upto <= lacking THEN upto END) OVER (PARTITION BY source), 0) AS gap
   FROM running
+), rest AS (
+  SELECT source, size, gap, struct_pack(q := q, key := key, id := coalesce(doc_id, -1)) AS place FROM gaps WHERE upto > lacking AND size > 0
+), one AS (
+  SELECT source, arg_min(struct_pack(p := place, size := size), struct_pack(m := gap - size, p := place)) AS b FROM rest WHERE size <= gap GROUP BY source
+), rest1 AS (
+  SELECT r.source, r.size, r.place, r.gap - coalesce(o.b.size, 0) AS gap FROM rest r LEFT JOIN one o ON r.source IS NOT DISTINCT FROM o.source
+  WHERE o.b IS NULL OR o.b.p <> r.place
+), two AS (
+  SELECT source, arg_min(struct_pack(p := place, size := size), struct_pack(m := gap - size, p := place)) AS b FROM rest1 WHERE size <= gap GROUP BY source
+), rest2 AS (
+  SELECT r.source, r.size, r.place, r.gap - coalesce(o.b.size, 0) AS gap FROM rest1 r LEFT JOIN two o ON r.source IS NOT DISTINCT FROM o.source
+  WHERE o.b IS NULL OR o.b.p <> r.place
+), three AS (
+  SELECT source, arg_min(struct_pack(p := place, size := size), struct_pack(m := abs(gap - size), p := place)) AS b FROM rest2
+  WHERE abs(gap - size) < abs(gap) GROUP BY source
 ), closing AS (
-  SELECT source, arg_min(struct_pack(key := key, id := coalesce(doc_id, -1)),
-                         struct_pack(m := abs(gap - size), q := q, key := key, id := coalesce(doc_id, -1))) AS best
-  FROM gaps WHERE upto > lacking AND abs(gap - size) < abs(gap) GROUP BY source
+  SELECT source, b.p.key AS key, b.p.id AS id FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)
 )
 SELECT g.doc_id, g.size, g.source_size, g.target,
-       CAST((whole + CASE WHEN upto <= lacking THEN 1
-                          WHEN c.best.key = g.key AND c.best.id = coalesce(g.doc_id, -1) AND upto > lacking THEN 1
-                          ELSE 0 END) * size AS BIGINT) AS taken
-FROM gaps g LEFT JOIN closing c ON g.source IS NOT DISTINCT FROM c.source
+       CAST((whole + CASE WHEN upto <= lacking THEN 1 WHEN c.key IS NOT NULL AND upto > lacking THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM gaps g LEFT JOIN closing c ON g.source IS NOT DISTINCT FROM c.source AND g.key = c.key AND coalesce(g.doc_id, -1) = c.id
 """
