@@ -202,17 +202,16 @@ def calibration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH g AS (SELECT vec_id, embedding[1]::DOUBLE AS o, embedding[2]::DOUBLE AS a, embedding[3]::DOUBLE AS b, embedding[4]::DOUBLE AS c FROM embeddings),
-w AS (SELECT vec_id, exp(a + b + c) / (1 + exp(-o)) AS weight FROM g) SELECT vec_id, row_number() OVER (ORDER BY weight DESC, vec_id)::INTEGER AS place, round(weight, 6) AS weight FROM w QUALIFY row_number() OVER (ORDER BY weight DESC, vec_id) <= 100"""
+w AS (SELECT vec_id, exp(a + b + c) / (1 + exp(-o)) AS weight FROM g) SELECT vec_id, row_number() OVER (ORDER BY weight DESC, vec_id)::INTEGER AS place, round(weight, 6) AS weight FROM w"""
 )
 def splat_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred most important Gaussians (a top-k report)."""
+    """Gaussians by importance."""
     from pyspark.sql.window import Window
 
     get = lambda i: F.get("embedding", F.lit(i)).cast("double")
     rows = data.table(spark, sf_dir, "embeddings").select("vec_id", raster.splat_order(get(0), get(1), get(2), get(3)).alias("weight"))
-    top = rows.orderBy(F.desc("weight"), "vec_id").limit(100)
     place = F.row_number().over(Window.orderBy(F.desc("weight"), "vec_id"))
-    return top.select("vec_id", place.alias("place"), r6("weight"))
+    return rows.select("vec_id", place.alias("place"), r6("weight"))
 
 
 @query(
@@ -228,13 +227,13 @@ def disparity_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT vec_id, embedding[1 + r * 8 + c]::DOUBLE AS value, r, c FROM embeddings, range(8) a(r), range(8) b(c) WHERE vec_id < 50),
-s AS (SELECT vec_id, (vec_id % 6) + 0.25 AS u, (vec_id % 5) + 0.5 AS v FROM embeddings WHERE vec_id < 50),
+    """WITH g AS (SELECT vec_id, embedding[1 + r * 8 + c]::DOUBLE AS value, r, c FROM embeddings, range(8) a(r), range(8) b(c)),
+s AS (SELECT vec_id, (vec_id % 6) + 0.25 AS u, (vec_id % 5) + 0.5 AS v FROM embeddings),
 k AS (SELECT s.vec_id, u, v, sum(value * (1 - abs(c - u)) * (1 - abs(r - v))) AS value FROM s JOIN g ON s.vec_id = g.vec_id AND abs(c - u) < 1 AND abs(r - v) < 1 GROUP BY ALL)
 SELECT vec_id, u::DOUBLE AS u, v::DOUBLE AS v, round(value, 6) + 0.0 AS value FROM k"""
 )
 def bilinear_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.table(spark, sf_dir, "embeddings").filter("vec_id < 50")
+    rows = data.table(spark, sf_dir, "embeddings")
     grid = rows.select("vec_id", F.posexplode("embedding").alias("p", "value")).select(
         "vec_id", F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).alias("col"), F.col("value").cast("double").alias("value")
     )

@@ -328,7 +328,7 @@ def quaternion_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", r6("w"), r6("x"), r6("y"), r6("z"), "verdict")
 
 
-_CAMERA = f"""WITH {data.TUNNEL}, cam AS (SELECT s_suppkey AS camera_id, s_suppkey * 10::DOUBLE AS cx_ FROM supplier WHERE s_suppkey <= 10),
+_CAMERA = f"""WITH {data.TUNNEL}, cam AS (SELECT n_nationkey AS camera_id, n_nationkey * 5::DOUBLE AS cx_ FROM nation),
 seen AS (SELECT t.*, camera_id, 400 * (-y) / (x - cx_) + 320 AS u, 400 * (-z) / (x - cx_) + 240 AS v, x - cx_ AS depth FROM tunnel t, cam
   WHERE x - cx_ > 0.05 AND x - cx_ < 200 AND abs(x - cx_) >= 1e-12),
 vis AS (SELECT * FROM seen WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480)"""
@@ -337,12 +337,12 @@ vis AS (SELECT * FROM seen WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480)"""
 def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cameras that look along the tunnel: image x is -y, image y is -z, depth is x."""
     r = [[0.0, -1.0, 0.0], [0.0, 0.0, -1.0], [1.0, 0.0, 0.0]]
-    return data.table(spark, sf_dir, "supplier").filter("s_suppkey <= 10").select(
-        F.col("s_suppkey").alias("camera_id"),
+    return data.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("camera_id"),
         *[F.lit(r[i][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)],
         F.lit(0.0).alias("tx"),
         F.lit(0.0).alias("ty"),
-        (F.col("s_suppkey") * -10.0).alias("tz"),
+        (F.col("n_nationkey") * -5.0).alias("tz"),
         *[F.lit(v).alias(n) for n, v in {"fx": 400.0, "fy": 400.0, "cx": 320.0, "cy": 240.0, "width": 640, "height": 480}.items()],
     )
 
@@ -362,20 +362,20 @@ def project_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("camera_id", "visible", r6("share"), r6("median_depth"))
 
 
-@query(_CAMERA + ' SELECT camera_id, floor(v)::INTEGER AS "row", floor(u)::INTEGER AS col, min(depth::FLOAT) AS depth FROM vis WHERE camera_id <= 3 GROUP BY ALL')
+@query(_CAMERA + ' SELECT camera_id, floor(v)::INTEGER AS "row", floor(u)::INTEGER AS col, min(depth::FLOAT) AS depth FROM vis GROUP BY ALL')
 def zbuffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.z_buffer(_seen(spark, sf_dir).filter("camera_id <= 3"))
+    return raster.z_buffer(_seen(spark, sf_dir))
 
 
 @query(
     _CAMERA
-    + f""", placed AS (SELECT *, floor(v / 16)::INTEGER AS r_, floor(u / 16)::INTEGER AS c_ FROM vis WHERE camera_id <= 3),
+    + f""", placed AS (SELECT *, floor(v / 16)::INTEGER AS r_, floor(u / 16)::INTEGER AS c_ FROM vis),
 first_ AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY camera_id, r_, c_ ORDER BY depth, {_KEYS}) = 1),
 nb AS (SELECT a.camera_id, a.r_, a.c_, min(b.depth) AS least_ FROM first_ a JOIN first_ b ON a.camera_id = b.camera_id AND abs(a.r_ - b.r_) <= 1 AND abs(a.c_ - b.c_) <= 1 GROUP BY ALL)
 SELECT camera_id, depth > least_ * 1.05 AS occluded, count(*) AS n, round(sum(depth), 4) AS depth FROM first_ JOIN nb USING (camera_id, r_, c_) GROUP BY ALL"""
 )
 def nearest_cell_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raster.nearest_visible(_seen(spark, sf_dir).filter("camera_id <= 3"), ["camera_id"], 16.0, 3, 0.05, data.ORDER)
+    rows = raster.nearest_visible(_seen(spark, sf_dir), ["camera_id"], 16.0, 3, 0.05, data.ORDER)
     return rows.groupBy("camera_id", "occluded").agg(F.count("*").alias("n"), F.round(F.sum("depth"), 4).alias("depth"))
 
 
