@@ -255,7 +255,7 @@ def back_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'p' || k || '_y' || lpad(i::VARCHAR, 2, '0') AS name, 360.0::DOUBLE * i / 8 AS yaw, CASE k WHEN 0 THEN -20::DOUBLE ELSE 15::DOUBLE END AS pitch, round({256 / math.tan(math.radians(45))!r}, 6) AS focal FROM range(2) a(k), range(8) b(i)"""
+    f"""SELECT 'p' || k || '_y' || lpad(i::VARCHAR, 2, '0') AS name, 360.0::DOUBLE * i / 8 AS yaw, CASE k WHEN 0 THEN -20::DOUBLE ELSE 15::DOUBLE END AS pitch, round({256 / math.tan(math.radians(45))!r}::DOUBLE, 6) AS focal FROM range(2) a(k), range(8) b(i)"""
 )
 def ring_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(raster.crop_views(8, [-20.0, 15.0], 90.0, 512), "name string, yaw double, pitch double, focal double")

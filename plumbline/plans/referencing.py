@@ -200,7 +200,7 @@ _TWO = f"{data.series_sql('o_orderstatus', 'every')}, a AS (SELECT s, area FROM
 @query(
     f"""WITH {_TWO}, both_ AS (SELECT 1 AS key, a.s, b.area - a.area AS delta FROM a JOIN b USING (s)),
 {data.runs_sql('both_', 'delta')}
-SELECT (SELECT count(*) FROM both_) AS stations, round(sum(integral), 7) AS volume, sum(hi - lo) AS covered, count(*) AS segments FROM segments"""
+SELECT (SELECT count(*) FROM both_) AS stations, round(sum(integral), 7) AS volume, coalesce(sum(hi - lo), 0) AS covered, count(*) AS segments FROM segments"""
 )
 def epoch_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = data.series(spark, sf_dir, "o_orderstatus")
@@ -245,7 +245,7 @@ def paired_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _PAIRS
     + f""", common AS (SELECT key, s, CASE WHEN side = 'both' THEN predicted END AS p, CASE WHEN side = 'both' THEN referenced END AS q FROM pairs),
 {data.runs_sql('common', 'p')}, other AS (SELECT sum((q + lq) / 2 * (s - ls)) AS v FROM (SELECT s, q, lag(q) OVER w AS lq, lag(s) OVER w AS ls FROM traps WINDOW w AS (PARTITION BY key, run ORDER BY s)))
-SELECT round(sum(integral), 7) AS predicted_volume, sum(hi - lo) AS covered, count(*) AS segments, round(any_value(v), 7) AS referenced_volume,
+SELECT round(sum(integral), 7) AS predicted_volume, coalesce(sum(hi - lo), 0) AS covered, count(*) AS segments, round(any_value(v), 7) AS referenced_volume,
  round((sum(integral) - any_value(v)) / any_value(v), 6) AS relative FROM segments, other"""
 )
 def paired_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
