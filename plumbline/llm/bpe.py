@@ -39,8 +39,8 @@ from .common import without
 IDLE_SECONDS = 2.0
 #: Most cached pre-tokens (in each of two generations) and transducer moves of a Python
 #: worker; caches that are full are emptied, so memory is bounded and results are the same.
-CACHED_PIECES = 200_000
-CACHED_MOVES = 600_000
+CACHED_PIECES = 150_000
+CACHED_MOVES = 400_000
 CACHED_PAIRS = 100_000
 NEVER = 1 << 60
 #: How a move packs the next state and what it emits.
@@ -403,6 +403,7 @@ class InUse:
         with self.lock:
             if not self.tasks and self.turn == turn:
                 self.release()
+                pa.default_memory_pool().release_unused()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
