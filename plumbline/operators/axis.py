@@ -15,8 +15,8 @@ from ..contracts import EPS, ContractError
 from .intervals import in_ranges, touches
 from .transforms import Vec, cross, dot, minus, norm
 
-#: Segments that are inlined as literals; longer axes are projected to with Arrow batches.
-INLINE_SEGMENTS = 64
+#: Segments that are inlined as literals, which code generation unrolls; longer axes go through Arrow batches.
+INLINE_SEGMENTS = 8
 
 
 def chainage(vertices: DataFrame, order_by: str, keys: Sequence[str] = (), offset: float = 0.0) -> DataFrame:
@@ -132,13 +132,15 @@ def section_frame(tangent: Vec) -> tuple[Vec, Vec, Vec]:
     return tangent, y, cross(tangent, y)
 
 
-def _to_segment(p: Vec, seg: Column) -> tuple[Column, Column]:
-    """(squared distance, chainage) of the nearest place of a segment struct."""
-    a = (seg.ax, seg.ay, seg.az)
-    d = (seg.bx - seg.ax, seg.by - seg.ay, seg.bz - seg.az)
-    share = F.least(F.greatest(dot(minus(p, a), d) / dot(d, d), F.lit(0.0)), F.lit(1.0))
-    off = minus(p, tuple(x + y * share for x, y in zip(a, d, strict=True)))
-    return dot(off, off), seg.s0 + (seg.s1 - seg.s0) * share
+def _to_segment(p: Vec, row: tuple[float, ...]) -> tuple[Column, Column]:
+    """(squared distance, chainage) of the nearest place of a segment (s0, s1, a, b)."""
+    s0, s1, *rest = row
+    a, b = rest[:3], rest[3:]
+    d = [y - x for x, y in zip(a, b, strict=True)]
+    along = sum((c - x) * y for c, x, y in zip(p, a, d, strict=True))
+    share = F.least(F.greatest(along / sum(y * y for y in d), F.lit(0.0)), F.lit(1.0))
+    off = tuple(c - (x + share * y) for c, x, y in zip(p, a, d, strict=True))
+    return dot(off, off), F.lit(s0) + share * (s1 - s0)
 
 
 def project(points: DataFrame, axis: Axis, step: float | None = None) -> DataFrame:
@@ -150,15 +152,10 @@ def project(points: DataFrame, axis: Axis, step: float | None = None) -> DataFra
     axis = axis.resample(step) if step else axis
     rows = axis.rows()
     if len(rows) <= INLINE_SEGMENTS:
-        names = ["s0", "s1", "ax", "ay", "az", "bx", "by", "bz"]
-        table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])
         p = tuple(F.col(c) for c in "xyz")
-
-        def candidate(seg):
-            d2, s = _to_segment(p, seg)
-            return F.struct(d2.alias("d2"), s.alias("s"))
-
-        best = F.array_min(F.transform(table, candidate))
+        near = [_to_segment(p, r) for r in rows]
+        tried = [F.struct(d2.alias("d2"), s.alias("s")) for d2, s in near]
+        best = F.least(*tried) if len(tried) > 1 else tried[0]
         return points.withColumn("_best", best).select(
             *points.columns, F.col("_best.s").alias("s"), F.sqrt("_best.d2").alias("radial")
         )

@@ -13,6 +13,8 @@ from ..contracts import ContractError
 from .transforms import equirect_uv, pinhole, visible
 
 MOST_CAMERAS = 100_000
+#: Cells with a least depth that are sent to the points; beyond, both sides meet by key.
+MOST_CELLS = 200_000
 
 
 def project_all(points: DataFrame, cameras: DataFrame, near: float = 0.05) -> DataFrame:
@@ -46,9 +48,16 @@ def nearest_visible(seen: DataFrame, keys: Sequence[str], cell: float, reach: in
     ``reach`` x ``reach`` cells about it (odd). Cells send their depth to their neighbours by key.
     """
     placed = seen.withColumn("_r", F.floor(F.col("v") / cell).cast("int")).withColumn("_c", F.floor(F.col("u") / cell).cast("int"))
+    # the least depth of a cell is a plain hash aggregate; only rows at it are compared as whole rows
+    least = placed.groupBy(*keys, "_r", "_c").agg(F.min("depth").alias("_z"))
+    if least.count() <= MOST_CELLS:
+        least = F.broadcast(least)
     row = F.struct(*[F.col(c) for c in seen.columns])
-    first = placed.groupBy(*keys, "_r", "_c").agg(
-        F.min_by(row, F.struct("depth", *[F.col(c) for c in order_by])).alias("_p"), F.min("depth").alias("_z")
+    first = (
+        placed.join(least, [*keys, "_r", "_c"])
+        .filter(F.col("depth") == F.col("_z"))
+        .groupBy(*keys, "_r", "_c")
+        .agg(F.min_by(row, F.struct(*[F.col(c) for c in order_by])).alias("_p"), F.min("_z").alias("_z"))
     )
     half = reach // 2
     steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)]
