@@ -316,9 +316,9 @@ class Utf8Decoder:
 class _Pieces(dict):
     """Ids of pre-tokens met before, in two generations: the older goes when the newer is full."""
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, most: int):
         super().__init__()
-        self.machine, self.older = machine, {}
+        self.machine, self.older, self.most = machine, {}, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -326,7 +326,7 @@ class _Pieces(dict):
             found = self.machine.encode(piece.encode("utf-8"))
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -336,13 +336,14 @@ class _Pieces(dict):
 class Codec:
     """Encodes and decodes texts with one vocabulary; keeps its caches for a Python worker."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: float = 1.0):
         import regex
 
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(load_ranks(path), int(CACHED_MOVES * cache))
         self.split = regex.compile(pattern).findall
         self.bytes_of = self.machine.tokens
-        self.pieces = _Pieces(self.machine)
+        self.most = int(CACHED_PIECES * cache)
+        self.pieces = _Pieces(self.machine, self.most)
         self.in_use = InUse(self.release)
 
     def encode(self, text: str) -> bytes:
@@ -352,7 +353,7 @@ class Codec:
 
     def release(self) -> None:
         """Empties the caches; what is left is the vocabulary."""
-        self.pieces = _Pieces(self.machine)
+        self.pieces = _Pieces(self.machine, self.most)
         self.machine.release()
 
     def ids(self, text: str) -> list[int]:
@@ -406,13 +407,14 @@ class InUse:
                 pa.default_memory_pool().release_unused()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    key = (path, pattern)
+def codec(path: str, pattern: str, cache: float = 1.0) -> Codec:
+    """The worker's codec; ``cache`` scales its caches, about 150 MB at 1."""
+    key = (path, pattern, cache)
     if key not in _CODECS:
-        _CODECS[key] = Codec(path, pattern)
+        _CODECS[key] = Codec(path, pattern, cache)
     return _CODECS[key]
 
 
@@ -465,7 +467,12 @@ def slices(batch, rows: int = 256):
 
 
 def round_trip(
-    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cache: float = 1.0,
 ) -> DataFrame:
     """Encodes each whole text, decodes its ids with the streaming decoder and digests both.
 
@@ -476,7 +483,7 @@ def round_trip(
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        own = codec(path, pattern)
+        own = codec(path, pattern, cache)
         for part in own.parts(batches):
             counts, of_ids, of_text = [], [], []
             for text in part.column("text").to_pylist():

@@ -79,7 +79,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), *_rank_file())
+    return round_trip(table(spark, sf_dir, "documents"), *_rank_file(), cache=2.0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
