@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..contracts import ContractError
 from .transforms import equirect_uv, pinhole, visible
@@ -52,12 +53,12 @@ def nearest_visible(seen: DataFrame, keys: Sequence[str], cell: float, reach: in
     least = placed.groupBy(*keys, "_r", "_c").agg(F.min("depth").alias("_z"))
     if least.count() <= MOST_CELLS:
         least = F.broadcast(least)
-    row = F.struct(*[F.col(c) for c in seen.columns])
+    place = F.row_number().over(Window.partitionBy(*keys, "_r", "_c").orderBy(*order_by))
     first = (
         placed.join(least, [*keys, "_r", "_c"])
         .filter(F.col("depth") == F.col("_z"))
-        .groupBy(*keys, "_r", "_c")
-        .agg(F.min_by(row, F.struct(*[F.col(c) for c in order_by])).alias("_p"), F.min("_z").alias("_z"))
+        .withColumn("_n", place)
+        .filter("_n = 1")
     )
     half = reach // 2
     steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)]
@@ -69,7 +70,7 @@ def nearest_visible(seen: DataFrame, keys: Sequence[str], cell: float, reach: in
     hidden = F.col("_z") > F.col("_least") * (1 + tolerance)
     own = [c for c in seen.columns if c not in keys]
     return first.join(around, [*keys, "_r", "_c"]).select(
-        *keys, *[F.col(f"_p.{c}").alias(c) for c in own], hidden.alias("occluded")
+        *keys, *own, hidden.alias("occluded")
     )
 
 
@@ -220,8 +221,6 @@ def tracks(points: DataFrame, images: DataFrame, cameras: DataFrame, most_error:
     ``points``: point_id, x, y, z, track array<struct<image_id, u, v>>; ``images``: image_id, camera_id,
     role, qw..qz, tx..tz; ``cameras``: camera_id, fx, fy, cx, cy.
     """
-    from pyspark.sql.window import Window
-
     from .transforms import quaternion_matrix
 
     seen = points.select("point_id", "x", "y", "z", F.explode("track").alias("o")).select("*", "o.*").drop("o")
