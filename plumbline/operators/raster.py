@@ -51,11 +51,10 @@ def nearest_visible(seen: DataFrame, keys: Sequence[str], cell: float, reach: in
     placed = seen.withColumn("_r", F.floor(F.col("v") / cell).cast("int")).withColumn("_c", F.floor(F.col("u") / cell).cast("int"))
     # the least depth of a cell is a plain hash aggregate; only rows at it are compared as whole rows
     least = placed.groupBy(*keys, "_r", "_c").agg(F.min("depth").alias("_z"))
-    if least.count() <= MOST_CELLS:
-        least = F.broadcast(least)
+    side = F.broadcast(least) if least.count() <= MOST_CELLS else least
     place = F.row_number().over(Window.partitionBy(*keys, "_r", "_c").orderBy(*order_by))
     first = (
-        placed.join(least, [*keys, "_r", "_c"])
+        placed.join(side, [*keys, "_r", "_c"])
         .filter(F.col("depth") == F.col("_z"))
         .withColumn("_n", place)
         .filter("_n = 1")
@@ -63,7 +62,7 @@ def nearest_visible(seen: DataFrame, keys: Sequence[str], cell: float, reach: in
     half = reach // 2
     steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)]
     around = (
-        first.select(*keys, "_r", "_c", "_z", F.explode(F.array(*steps)).alias("_d"))
+        least.select(*keys, "_r", "_c", "_z", F.explode(F.array(*steps)).alias("_d"))
         .groupBy(*keys, (F.col("_r") + F.col("_d.i")).alias("_r"), (F.col("_c") + F.col("_d.j")).alias("_c"))
         .agg(F.min("_z").alias("_least"))
     )
