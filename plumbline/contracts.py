@@ -40,4 +40,7 @@ def require_metric_frame(df: DataFrame, frame_col: str = "frame") -> DataFrame:
 
 def float32_safe(*columns: Column, limit: float = 5000.0) -> Column:
     """Whether coordinates can be stored as float without losing millimetres."""
-    return F.greatest(*[F.abs(c) for c in columns]) <= limit
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & (F.abs(c) <= limit)
+    return ok
