@@ -30,7 +30,11 @@ def project_all(points: DataFrame, cameras: DataFrame, near: float = 0.05) -> Da
     p = [F.col(c) for c in "xyz"]
     local = tuple(sum(F.col(f"r{i}{j}") * p[j] for j in range(3)) + F.col(f"t{'xyz'[i]}") for i in range(3))
     u, v = pinhole(local, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    seen = both.withColumns({"u": u, "v": v, "depth": local[2]})
+    # generated, not projected: else every later use of u, v and depth repeats the whole expression, and the
+    # generated code grows beyond what the JVM compiles
+    image = F.explode(F.array(F.struct(u.alias("u"), v.alias("v"), local[2].alias("depth"))))
+    seen = both.select(*points.columns, "camera_id", "width", "height", image.alias("_p"))
+    seen = seen.select("*", "_p.u", "_p.v", "_p.depth")
     seen = seen.filter(visible(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height"), near))
     return seen.select(*points.columns, "camera_id", "u", "v", "depth")
 
