@@ -29,6 +29,7 @@ def window_plan(start: float, end: float, length: float, overlap: float) -> list
 
 def core_plan(start: float, end: float, core: float, overlap: float) -> list[tuple[int, float, float, float, float]]:
     """(ordinal, core_lo, core_hi, support_lo, support_hi); a short rest joins the last core."""
+    start, end = float(start), float(end)
     n = max(1, math.ceil(round((end - start) / core, 9)))
     if n > 1 and end - (start + (n - 1) * core) <= overlap + EPS:
         n -= 1
