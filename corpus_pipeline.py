@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, mixing, quality, simhash, toxicity
+from plumbline.llm import bpe, mixing, near_copies, quality, toxicity
 from plumbline.llm.common import stored, table
 
 #: The last stage's digests and the fitted classifiers have no SQL.
@@ -29,8 +29,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): that of the least id."""
+    return near_copies.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

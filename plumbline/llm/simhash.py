@@ -292,13 +292,20 @@ def deduplicated(
     is no more than ``most`` places.
     """
     rows = stored(with_fingerprint(df, text_col, "_fingerprint", width, seed))
+    found = component_of(rows, id_col, "_fingerprint", radius).select("fp", "root")
+    return first_of_each(rows, found, "_fingerprint", df.columns, id_col, most)
+
+
+def first_of_each(
+    rows: DataFrame, found: DataFrame, own_col: str, columns: list[str], id_col: str, most: int
+) -> DataFrame:
+    """The stored rows with one of each root of ``found`` (fp, root) left: that of the least id."""
     placed = rows.select(
         F.col(id_col).alias("id"),
-        F.col("_fingerprint").alias("own"),
+        F.col(own_col).alias("own"),
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
-    found = component_of(rows, id_col, "_fingerprint", radius).select("fp", "root")
     first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "_file", "_row")
     stays = (
         placed.join(found, placed.own == found.fp)
@@ -315,5 +322,5 @@ def deduplicated(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
     return located.join(gone, ["_file", "_row"], "left_anti").select(
-        *[F.col(f"`{c}`") for c in df.columns]
+        *[F.col(f"`{c}`") for c in columns]
     )
