@@ -51,7 +51,7 @@ def shape(text: str) -> list[float] | None:
     n, size = len(words), len(data)
     again = sum([a == b for a, b in zip(words, words[1:], strict=False)])
     lines = [line for line in text.split("\n") if line]
-    letters = sum(map(str.isalpha, text[:4096])) / min(len(text), 4096) if text else 0
+    letters = sum(map(str.isalpha, text)) / len(text)
     capital = sum(map(str.isupper, words))
     symbols = size - len(data.translate(None, _SYMBOLS))
     return [

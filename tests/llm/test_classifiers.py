@@ -120,3 +120,12 @@ def test_share_moves_the_bias():
     labels = np.array([0, 1] * 20)
     low, high = ngrams.fit(texts, labels, 0.01), ngrams.fit(texts, labels, 0.5)
     assert high.bias - low.bias == pytest.approx(np.log(99))
+
+
+def test_letters_are_counted_over_the_whole_text():
+    from plumbline.llm import quality
+
+    head, tail = "plain words " * 400, "#1 |2 " * 2000
+    for text in (head + tail, tail + head):
+        share = sum(c.isalpha() for c in text) / len(text)
+        assert abs(quality.shape(text)[14] - share) < 1e-12
