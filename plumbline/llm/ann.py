@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpointed
-from .vectors import QUERY_CHUNK, best, blocks, empty, query_chunks, usable
+from .vectors import QUERY_CHUNK, best, blocks, distinct, empty, query_chunks, usable
 
 SAMPLE = 8192
 LISTS = 2048
@@ -132,7 +132,7 @@ def _scan(index: dict, k: int, epsilon: float):
                         dots = np.einsum("ij,ij->i", matrix[r], original[c])
                         scores = dots / (np.linalg.norm(matrix[r], axis=1) * norms[c])
                         found.append((c, ids[r], scores))
-            kept = best(*(np.concatenate(p) for p in zip(*found, strict=True)), k)
+            kept = best(*distinct(*(np.concatenate(p) for p in zip(*found, strict=True))), k)
             full = np.flatnonzero(np.bincount(kept[0], minlength=len(bound)) == k)
             worst = np.full(len(bound), np.inf)
             np.minimum.at(worst, kept[0], kept[2])
@@ -195,7 +195,8 @@ def nearest(
         raw = np.array([r.v for r in drawn], dtype=np.float64)
         base = unit(raw)
         centroids = fit_centroids(base, max(1, min(int(n**0.5), lists, len(base))), seed)
-        probes = lists_to_probe(base, centroids, k, recall)
+        once = np.r_[True, ids[1:] != ids[:-1]]  # rows that repeat an id are neighbours
+        probes = lists_to_probe(base[once], centroids, k, recall)
         listed = own.mapInArrow(_assign(centroids), "list int, vec_id long, v array<double>")
         listed = checkpointed(listed)
         sizes = dict(listed.groupBy("list").count().collect())
@@ -236,6 +237,19 @@ def nearest(
     return out
 
 
+def _best_copies(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of the rows (columns of ``near``) that repeat an id, neighbours of each other, only the nearest
+    one is left to each query; the others are at minus infinity."""
+    new = np.r_[True, ids[1:] != ids[:-1]]
+    if new.all():
+        return near
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    top = near == np.maximum.reduceat(near, starts, axis=1)[:, group]
+    seen = np.cumsum(top, axis=1)
+    before = seen[:, starts] - top[:, starts]
+    return np.where(top & (seen - before[:, group] == 1), near, -np.inf)
+
+
 def _first_bound(q, matrix, query_ids, base, raw, ids, k: int, most: int = 2048):
     """The squared distance of each query's k-th nearest in a part of the sample, which the k-th
     nearest of all rows can't exceed; and these neighbours with their scores."""
@@ -245,6 +259,7 @@ def _first_bound(q, matrix, query_ids, base, raw, ids, k: int, most: int = 2048)
     for i in range(0, len(q), QUERIES):
         near = q[i : i + QUERIES] @ base.T
         near[query_ids[i : i + QUERIES, None] == ids[None, :]] = -np.inf
+        near = _best_copies(near, ids)
         top = np.argsort(-near, axis=1, kind="stable")[:, :k]
         if len(ids) >= k:
             kth = np.take_along_axis(near, top[:, k - 1 :], axis=1)[:, 0]

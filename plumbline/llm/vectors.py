@@ -72,6 +72,15 @@ def query_chunks(queries: DataFrame, chunk: int = QUERY_CHUNK) -> Iterator[list[
             ]
 
 
+def distinct(q: np.ndarray, ids: np.ndarray, scores: np.ndarray):
+    """One entry of each (q, id): that of the highest score."""
+    order = np.lexsort((-scores, ids, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    keep = np.ones(len(q), dtype=bool)
+    keep[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    return q[keep], ids[keep], scores[keep]
+
+
 def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """The k entries of highest score of each q, ties to smaller ids."""
     order = np.lexsort((ids, -scores, q))

@@ -119,3 +119,21 @@ def test_abandoned_rows_are_far():
     near = {(a, b) for a, b in zip(*np.nonzero(d2 <= bound), strict=True)}
     assert len(near & set(zip(r.tolist(), c.tolist(), strict=True))) >= 0.9 * len(near)
     assert len(r) < 3 * len(near)
+
+
+def test_rows_that_repeat_an_id_are_one_candidate(spark):
+    import numpy as np
+
+    from plumbline.llm import ann
+
+    vectors = np.random.default_rng(5).normal(size=(300, 16))
+    once = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(once * 6, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(once[:20], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, asked, recall=1.0, epsilon=50.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit[:20] @ unit.T
+    near[np.arange(20), np.arange(20)] = -np.inf
+    assert [got[i] for i in range(20)] == np.argsort(-near, axis=1)[:, :5].tolist()
