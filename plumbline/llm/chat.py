@@ -10,8 +10,11 @@ them roles and turns. Turns are rendered as ``<|role|>\\n`` text ``\\n<|end|>\\n
 A transcript is one row, so no conversation is gathered from the whole table in one task
 except by its own id: the turns of a conversation are put together by a grouped list, whose partial
 lists are combined before the shuffle. Turns beyond ``SEGMENT`` of one conversation make further
-transcripts of it (segment 1, 2, ...), which bounds the row that a hot conversation id makes; Viterbi
-runs within a segment.
+transcripts of it (segment 1, 2, ...), which bounds the row that a hot conversation id makes. Decoding
+goes across segments: each segment is one max-plus matrix from the state before it to its last state;
+the matrices of a conversation give the states at the borders, and each segment is decoded between
+its own, so the path is a best one of the whole conversation. A turn that goes on over a border is
+rendered in both segments. A segment is as long as the rows whose turn numbers fall into it.
 
 Defined results: null texts are empty turns; null turns come first and ties are ordered by role and text;
 rows that repeat are turns of their own; a null conversation id is a conversation; roles that are
@@ -81,24 +84,62 @@ class Hmm:
     move: np.ndarray
     emit: list[np.ndarray] = field(default_factory=list)
 
-    def viterbi(self, seen: list[tuple[int, int, int, int]]) -> list[int]:
-        """The likeliest states; of equal ones the first."""
+    def emitted(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray:
+        codes = np.array(seen)
+        return sum(e[:, codes[:, i]] for i, e in enumerate(self.emit)).T
+
+    def passage(self, seen: list[tuple[int, int, int, int]]) -> np.ndarray | None:
+        """Best scores of the last state (columns): from the start of a conversation (row 0) and from
+        each state before the lines (rows 1 to 6); None without lines."""
+        if not seen:
+            return None
+        emitted = self.emitted(seen)
+        score = np.vstack([self.start, self.move]) + emitted[0]
+        for t in range(1, len(seen)):
+            score = (score[:, :, None] + self.move).max(axis=1) + emitted[t]
+        return score
+
+    def viterbi(
+        self, seen: list[tuple[int, int, int, int]], before: int | None = None, last: int | None = None
+    ) -> list[int]:
+        """The likeliest states, after the state ``before`` and up to the state ``last`` if given; of
+        equal ones the first."""
         if not seen:
             return []
-        codes = np.array(seen)
-        emitted = sum(e[:, codes[:, i]] for i, e in enumerate(self.emit)).T
-        score = self.start + emitted[0]
+        emitted = self.emitted(seen)
+        score = (self.start if before is None else self.move[before]) + emitted[0]
         back = np.zeros((len(seen), len(STATES)), dtype=np.int64)
         for t in range(1, len(seen)):
             paths = score[:, None] + self.move
             back[t] = paths.argmax(axis=0)
             score = paths[back[t], np.arange(len(STATES))] + emitted[t]
-        states = [int(score.argmax())]
+        states = [int(score.argmax()) if last is None else last]
         for t in range(len(seen) - 1, 0, -1):
             states.append(int(back[t, states[-1]]))
         return states[::-1]
 
 
+def borders(passages: list[np.ndarray | None]) -> list[tuple[int | None, int | None]]:
+    """(state before, last state) of each segment on a best path through all, from :meth:`Hmm.passage`."""
+    scores, score = [], None
+    for m in passages:
+        scores.append(score)
+        if m is not None:
+            score = m[0] if score is None else (score[:, None] + m[1:]).max(axis=0)
+    state = None if score is None else int(score.argmax())
+    found = []
+    for m, score in zip(passages[::-1], scores[::-1], strict=True):
+        if m is None:
+            found.append((None, None))
+        elif score is None:
+            found.append((None, state))
+        else:
+            before = int((score + m[1:, state]).argmax())
+            found.append((before, state))
+            state = before
+    return found[::-1]
+
+
 def prior_counts() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Pseudo-counts: a marker speaks for its role, turns open after blank lines, roles take turns."""
     n = len(STATES)
@@ -146,11 +187,30 @@ def fit(turns: DataFrame) -> Hmm:
     import pyarrow as pa
 
     by_place = Window.partitionBy("conv_id", "segment").orderBy(*ordered_turns())
-    rows = segments(turns).select(
+    cut = segments(turns)
+    ends = cut.groupBy("conv_id", "segment").agg(F.max(F.struct("turn", "role", "text"))["role"].alias("end"))
+    by_segment = Window.partitionBy("conv_id").orderBy("segment")
+    ends = ends.select(
+        F.col("conv_id").alias("of"),
+        F.col("segment").alias("at"),
+        F.lag("end").over(by_segment).alias("end_before"),
+        F.row_number().over(by_segment).alias("nth"),
+    ).filter("nth > 1")
+    placed = cut.select(
+        "conv_id",
+        "segment",
         "role",
         "text",
         F.lag("role").over(by_place).alias("before"),
-        (F.row_number().over(by_place) == 1).alias("first"),
+        (F.row_number().over(by_place) == 1).alias("heads"),
+    )
+    rows = placed.join(
+        ends, placed.heads & placed.conv_id.eqNullSafe(ends.of) & (placed.segment == ends["at"]), "left"
+    ).select(
+        "role",
+        "text",
+        F.coalesce("before", "end_before").alias("before"),
+        (F.col("heads") & F.col("nth").isNull()).alias("first"),
     )
     rows = rows.filter(F.col("role").isin(*ROLES))
 
@@ -189,11 +249,13 @@ def fit(turns: DataFrame) -> Hmm:
     return Hmm(normal(start), normal(move), [normal(e) for e in emit])
 
 
-def parse(text: str, model: Hmm) -> list[tuple[str, str]]:
-    """The turns (role, text) of a transcript."""
+def parse(
+    text: str, model: Hmm, before: int | None = None, last: int | None = None
+) -> list[tuple[str, str]]:
+    """The turns (role, text) of a transcript, or of a segment between two states."""
     lines, seen = observed(text)
     turns: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, model.viterbi(seen), strict=True):
+    for line, state in zip(lines, model.viterbi(seen, before, last), strict=True):
         role, opens = STATES[state]
         clean = marker(line)[1] if opens else line
         if opens or not turns or turns[-1][0] != role:
@@ -243,6 +305,7 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
     from .common import without
 
     kept = without(df, ["found_roles", "n_lines", "rendered"])
+    bordered = {"_before", "_last"} <= set(df.columns)
     schema = T.StructType(
         [
             *kept.schema.fields,
@@ -256,7 +319,10 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
-                found = [parse(t, model) for t in texts]
+                ends = [(None, None)] * len(texts)
+                if bordered:
+                    ends = zip(*[part.column(c).to_pylist() for c in ("_before", "_last")], strict=True)
+                found = [parse(t, model, *e) for t, e in zip(texts, ends, strict=True)]
                 lines = [sum(1 for x in t.split("\n") if x.strip()) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -271,14 +337,53 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
     return kept.mapInArrow(run, schema)
 
 
+def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
+    """The transcripts with ``_before`` and ``_last``: the states at the borders of conversations of
+    several segments, null elsewhere."""
+    import pyarrow as pa
+
+    from .bpe import slices
+
+    def pass_through(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [model.passage(observed(t)[1]) for t in part.column("transcript").to_pylist()]
+                flat = [None if m is None else m.ravel().tolist() for m in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv_id"), part.column("segment"), pa.array(flat, pa.list_(pa.float64()))],
+                    names=["conv_id", "segment", "m"],
+                )
+
+    def decide(group: pa.Table) -> pa.Table:
+        group = group.sort_by("segment")
+        flat = group.column("m").to_pylist()
+        ends = borders([None if m is None else np.array(m).reshape(-1, len(STATES)) for m in flat])
+        columns = [group.column("conv_id"), group.column("segment")]
+        columns += [pa.array([e[i] for e in ends], pa.int32()) for i in (0, 1)]
+        return pa.table(columns, names=["of", "at", "_before", "_last"])
+
+    several = cut.groupBy("conv_id").count().filter("count > 1").select(F.col("conv_id").alias("several"))
+    parts = cut.join(several, cut.conv_id.eqNullSafe(several.several), "left_semi")
+    ends = (
+        parts.select("conv_id", "segment", "transcript")
+        .mapInArrow(pass_through, "conv_id long, segment long, m array<double>")
+        .groupBy("conv_id")
+        .applyInArrow(decide, "of long, at long, _before int, _last int")
+    )
+    on = cut.conv_id.eqNullSafe(ends.of) & (cut.segment == ends["at"])
+    return cut.join(ends, on, "left").drop("of", "at")
+
+
 def format_conversations(turns: DataFrame, model: Hmm | None = None) -> DataFrame:
     """``conv_id, segment, n_turns, n_lines, found_turns, roles_agree, rendered`` of all conversations.
 
     The roles of the table train the model and are not shown to Viterbi; ``roles_agree``
     says whether the roles found are the ones given.
     """
+    from .common import stored
+
     model = model or fit(turns)
-    return format_transcripts(transcripts(turns), model).select(
+    return format_transcripts(with_borders(stored(transcripts(turns)), model), model).select(
         "conv_id",
         "segment",
         F.size("roles").cast("long").alias("n_turns"),

@@ -66,3 +66,30 @@ def test_edges(spark):
     assert got[(None, 0)].rendered == "" and got[(1, 0)].found_turns == 0
     assert got[(2, 0)].n_turns == 2
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_segments_are_decoded_as_one_conversation(spark):
+    rng = np.random.default_rng(3)
+    n = len(chat.STATES)
+    model = chat.Hmm(rng.normal(size=n), rng.normal(size=(n, n)), [rng.normal(size=(n, k)) * 0.3 for k in (4, 2, 6, 4)])
+    lines = ["Yes.", "Why?", "User: go on", "a long line " * 9, "so", "Bot: ok"]
+    rows = [(7, i * 400, "user", lines[int(rng.integers(6))]) for i in range(60)] + [(8, 0, "user", "Yes.")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = sorted((r.segment, r.transcript) for r in chat.transcripts(df).collect() if r.conv_id == 7)
+    assert len(parts) > 20
+    seen = [chat.observed(t)[1] for _, t in parts]
+    ends = chat.borders([model.passage(s) for s in seen])
+    joined = [x for s, e in zip(seen, ends, strict=True) for x in model.viterbi(s, *e)]
+    whole = [x for s in seen for x in s]
+    emitted = model.emitted(whole)
+
+    def score(path):  # orders of equal lines tie, so scores are compared
+        moves = sum(model.move[a, b] for a, b in itertools.pairwise(path))
+        return model.start[path[0]] + moves + sum(emitted[t, x] for t, x in enumerate(path))
+
+    best = score(model.viterbi(whole))
+    assert abs(score(joined) - best) < 1e-9
+    assert score([x for s in seen for x in model.viterbi(s)]) < best - 1e-3
+    got = {r.segment: r.rendered for r in chat.format_conversations(df, model).collect() if r.conv_id == 7}
+    for (segment, text), e in zip(parts, ends, strict=True):
+        assert got[segment] == chat.render(chat.parse(text, model, *e))
