@@ -3,7 +3,7 @@
 Index. Lists are the cells of centroids that are fitted on a bounded sample (``SAMPLE`` rows,
 those of least hash); every row is put into its list, and lists are dealt out in blocks of
 about ``BLOCK`` rows, so a list that holds much of the table is spread over many tasks. How many
-lists a query probes is set by brute force on the sample, so that the share of true neighbours
+lists a query probes is set by brute force on a quarter of the sample that no centroid is fitted on, so that the share of true neighbours
 in probed lists reaches ``recall``.
 
 Search. Vectors are scaled to length one and turned by a random rotation, after which any few
@@ -194,9 +194,10 @@ def nearest(
         ids = np.array([r.vec_id for r in drawn], dtype=np.int64)
         raw = np.array([r.v for r in drawn], dtype=np.float64)
         base = unit(raw)
-        centroids = fit_centroids(base, max(1, min(int(n**0.5), lists, len(base))), seed)
-        once = np.r_[True, ids[1:] != ids[:-1]]  # rows that repeat an id are neighbours
-        probes = lists_to_probe(base[once], centroids, k, recall)
+        once = base[np.r_[True, ids[1:] != ids[:-1]]]  # rows that repeat an id are neighbours
+        fitted = len(once) - len(once) // 4
+        centroids = fit_centroids(once[:fitted], max(1, min(int(n**0.5), lists, fitted)), seed)
+        probes = lists_to_probe(once[fitted:], centroids, k, recall)
         listed = own.mapInArrow(_assign(centroids), "list int, vec_id long, v array<double>")
         listed = checkpointed(listed)
         sizes = dict(listed.groupBy("list").count().collect())

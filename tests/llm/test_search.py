@@ -137,3 +137,20 @@ def test_rows_that_repeat_an_id_are_one_candidate(spark):
     near = unit[:20] @ unit.T
     near[np.arange(20), np.arange(20)] = -np.inf
     assert [got[i] for i in range(20)] == np.argsort(-near, axis=1)[:, :5].tolist()
+
+
+def test_probes_are_set_on_rows_held_out_from_the_fit(spark, monkeypatch):
+    import numpy as np
+
+    from plumbline.llm import ann
+
+    seen = {}
+    fit, probe = ann.fit_centroids, ann.lists_to_probe
+    monkeypatch.setattr(ann, "fit_centroids", lambda x, *a: seen.update(fit=x) or fit(x, *a))
+    monkeypatch.setattr(ann, "lists_to_probe", lambda x, *a: seen.update(probe=x) or probe(x, *a))
+    vectors = np.random.default_rng(6).normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    ann.nearest(df, df.limit(3)).count()
+    rows = lambda x: {r.tobytes() for r in x}
+    assert len(seen["fit"]) == 300 and len(seen["probe"]) == 100
+    assert not rows(seen["fit"]) & rows(seen["probe"])
