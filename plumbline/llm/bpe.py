@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import slices, without
 
 #: Seconds after which a worker without a task empties its caches.
 IDLE_SECONDS = 2.0
@@ -461,11 +461,6 @@ def decode_ids(
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch, rows: int = 256):
-    for i in range(0, max(batch.num_rows, 1), rows):
-        yield batch.slice(i, rows)
-
-
 def round_trip(
     df: DataFrame,
     path: str,

@@ -301,7 +301,7 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    from .bpe import slices
+    from .common import slices
     from .common import without
 
     kept = without(df, ["found_roles", "n_lines", "rendered"])
@@ -342,7 +342,7 @@ def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
     several segments, null elsewhere."""
     import pyarrow as pa
 
-    from .bpe import slices
+    from .common import slices
 
     def pass_through(batches):
         for batch in batches:

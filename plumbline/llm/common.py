@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,14 @@ def text_or_empty(col: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    A session on one machine (master ``local``) that names none gets a temporary folder; on a cluster
+    that would be one node's disk, so there the setting must be given.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -41,11 +46,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`checkpointed`, but as compressed Parquet; for rows with texts."""
+    """Like :func:`checkpointed`, but as compressed Parquet; for rows with texts.
+
+    Columns without a type (only nulls) can't be stored and are made anew.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    empty = {c for c, kind in df.dtypes if kind == "void"}
+    held = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in empty]) if empty else df
+    held.write.parquet(path)
+    found = spark.read.schema(held.schema).parquet(path)
+    if not empty:
+        return found
+    return found.select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns])
 
 
 def joined(rows: DataFrame, small: DataFrame, on, how: str = "left", most: int = 100_000) -> DataFrame:
@@ -60,6 +73,43 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def aside(
+    df: DataFrame, needed: list[str]
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with neutral names for all columns but ``needed``, so that none can clash with those of an
+    operator, and a function that selects the columns of ``df``, names restored, from a result."""
+    names = {c: c if c in needed else f"kept_{i}" for i, c in enumerate(df.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
+
+
+def slices(batch, rows: int = 256, most: int = 8 << 20) -> Iterator:
+    """A batch in slices of at most ``rows`` rows and ``most`` bytes of text, but of one row at least.
+
+    An empty batch is one empty slice.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    size = np.zeros(n, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    start = 0
+    while start < n or start == 0:
+        before = upto[start - 1] if start else 0
+        end = min(start + rows, int(np.searchsorted(upto, before + most, side="right")), n)
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def text_bytes(batch_column) -> tuple[bytes, list[int]]:
     """The UTF-8 bytes of an Arrow string column, null as empty, and its offsets."""
     import pyarrow as pa

@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
 Sources share the mix by weight; a target stops at ``cap`` times its source's size and the excess
-goes to the others by weight. The expected number of copies of a document is its source's
-target over its size: the whole part is allocated to every document, the rest is its inclusion
-probability p. Documents are ranked by Pareto's ``(u / (1 - u)) / (p / (1 - p))``, u being a seeded
-hash, and are taken in that order while their words fit what the target still lacks. The gap that is left,
-less than a document, is closed by up to ``FITS`` further documents, each time the largest that
-fits, and by one more of nearest size if that brings the words nearer to the target.
-
-No source's documents are ordered in one task: a histogram of the key, bounded in size, gives the
-bin in which the target is reached, and only that bin is ranked. Near the target the key is
-spread so that the bin has about one document in ``bins``.
-
-Defined results: a null or blank text has size 0 and no words are taken from it; null sources are one
-source, last in order; repeated rows and null ids are ranked by their text as well, and rows equal in all of
-it share one decision; an empty table gives an empty result; input columns named like an
-output column are replaced by it, all others are kept.
+goes to the others by weight. Within a source long documents are likelier to be taken: the expected
+number of copies of a document is proportional to its length class (the binary digits of its size), up
+to ``cap``, so that the expected words of the source are its target. The whole part is allocated to every
+document, the rest is its inclusion probability p. Documents are ranked by Pareto's
+``(u / (1 - u)) / (p / (1 - p))``, u being a seeded hash, and are taken in that order while their
+words fit what the target still lacks, so the sample's size in words is fixed. The gap that is left, less
+than a document, is closed by up to ``FITS`` further documents, each time the largest that fits,
+and by one more of nearest size if that brings the words nearer to the target.
+
+No source's documents are ordered in one task: histograms of the key, of ``1 << STEP`` bins each,
+narrow down where the target is reached until what is left of a source is at most ``EDGE_ROWS`` rows (or
+rows of one key), and only these are ranked.
+
+Defined results: a null or blank text has size 0 and is never taken; null sources are one
+source, last in order; repeated rows and null ids are ranked by their text as well, and of rows
+equal in all of it as many are taken as fit, which of them being open; an empty table gives an empty
+result; input columns named like an output column are replaced by it, all others are kept.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, joined, without
+from .common import WORD, checkpointed, joined, stored, without
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BINS = 4096
 FITS = 2
+#: Bits of the key, bits of it that a histogram tells apart, and rows that are ranked at once.
+KEY_BITS, STEP = 48, 8
+EDGE_ROWS = 4096
 OUT = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -92,87 +96,132 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     )
 
 
-def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with their whole copies and Pareto key; the plan has a row for each source."""
-    table = joined(rows, plan, rows.source.eqNullSafe(plan.source_key))
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    table = table.withColumn("whole", F.floor(expected).cast("long")).withColumn(
-        "p", expected - F.col("whole")
+def expected_copies(words: DataFrame, aimed: DataFrame, cap: int = CAP) -> DataFrame:
+    """``source_key, class_key, source_size, target, whole, p, lacking`` of each length class of a source.
+
+    ``words`` has ``source, class, words``. Copies are ``level * class`` up to ``cap``; few rows a source.
+    """
+    by_need = Window.partitionBy("source_key").orderBy(F.col("class_key").desc())
+    whole_source = Window.partitionBy("source_key")
+    mass = F.col("words") * F.col("class_key")
+    need = F.try_divide(F.lit(float(cap)), F.col("class_key").cast("double"))
+    first = F.when(need >= F.col("level"), F.struct(-F.col("class_key"), F.col("level")))
+    expected = F.when(F.col("class_key") == 0, 0.0).otherwise(
+        F.least(F.lit(float(cap)), F.coalesce(F.col("class_key") * F.col("shared"), F.lit(float(cap))))
     )
-    u = uniform(F.col("key"))
-    return table.withColumn(
-        "pareto",
-        F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))),
+    return (
+        joined(words, aimed, words.source.eqNullSafe(aimed.source_key), "inner")
+        .withColumnRenamed("class", "class_key")
+        .withColumn("words_before", F.sum("words").over(by_need) - F.col("words"))
+        .withColumn("mass_left", F.sum(mass).over(whole_source) - F.sum(mass).over(by_need) + mass)
+        # the level if this class and the shorter ones are not at their cap
+        .withColumn(
+            "level",
+            F.try_divide(F.col("target") - F.col("words_before") * cap, F.col("mass_left").cast("double")),
+        )
+        .withColumn("shared", F.min(F.when(F.col("class_key") > 0, first)).over(whole_source)["level"])
+        .withColumn("expected", expected)
+        .withColumn("whole", F.floor("expected").cast("long"))
+        .withColumn("p", F.col("expected") - F.col("whole"))
+        .withColumn("lacking", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(whole_source))
+        .select("source_key", "class_key", "source_size", "target", "whole", "p", "lacking")
+    )
+
+
+def _ranked(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows with the columns of their length class and their place in Pareto's order (null: not drawn)."""
+    table = joined(
+        rows, base, rows.source.eqNullSafe(base.source_key) & (rows["class"] == base.class_key)
     )
+    u = uniform(F.col("key"))
+    pareto = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    place = F.struct(pareto.alias("q"), F.col("key"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    return table.withColumn("place", F.when(F.col("p") > 0, place))
+
+
+def _edges(drawn: DataFrame, edge_rows: int) -> tuple[DataFrame, int]:
+    """For each source the piece of the key's range in which its target is reached and the words before;
+    and by how many bits the key is shortened to tell pieces apart."""
+    shift = KEY_BITS - STEP
+    rows = drawn.withColumn("before", F.lit(0).cast("long"))
+    while True:
+        running = Window.partitionBy("source_key").orderBy("piece")
+        edge = checkpointed(
+            rows.groupBy("source_key", F.shiftright("at", shift).alias("piece"))
+            .agg(
+                F.sum("size").alias("words"),
+                F.count("*").alias("rows"),
+                F.max("lacking").alias("lacking"),
+                F.max("before").alias("before"),
+            )
+            .withColumn("upto", F.col("before") + F.sum("words").over(running))
+            .filter(F.col("upto") > F.col("lacking"))
+            .groupBy("source_key")
+            .agg(F.min(F.struct("piece", (F.col("upto") - F.col("words")).alias("before"), "rows")).alias("e"))
+            .select(F.col("source_key").alias("edge_key"), "e.piece", "e.before", "e.rows")
+        )
+        if shift == 0 or (edge.agg(F.max("rows")).first()[0] or 0) <= edge_rows:
+            return edge.drop("rows"), shift
+        rows = _at_edge(drawn, edge, shift)
+        shift -= STEP
+
+
+def _at_edge(drawn: DataFrame, edge: DataFrame, shift: int) -> DataFrame:
+    same = F.col("source_key").eqNullSafe(F.col("edge_key"))
+    return joined(drawn, edge, same & (F.shiftright("at", shift) == F.col("piece")), "inner")
 
 
 def mixing_plan(
-    rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, bins: int = BINS
-) -> DataFrame:
-    """For each source its size, target, the last place that is taken and the closing documents.
+    rows: DataFrame,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    cap: int = CAP,
+    edge_rows: int = EDGE_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is decided for each length class of a source, the last place that each source takes, and
+    the places of which single rows are taken: ``source_key, place, wanted, there``.
 
-    ``rows`` has ``doc_id, source, size, key``.
+    ``rows`` has ``doc_id, source, size, class, key``.
     """
-    sizes = rows.groupBy(F.col("source").alias("source_key")).agg(F.sum("size").alias("source_size"))
-    base = checkpointed(targets(sizes, weights, share, cap))
-    drawn = _ranked(rows, base).filter(F.col("pareto").isNotNull())
-    lacking = F.col("target") - F.col("whole") * F.col("source_size")
-    drawn = drawn.withColumn("lacking", lacking).withColumn(
-        "bin", F.floor(F.col("pareto") / (1 + F.col("pareto")) * bins).cast("int")
+    words = checkpointed(rows.groupBy("source", "class").agg(F.sum("size").alias("words")))
+    sizes = words.groupBy(F.col("source").alias("source_key")).agg(F.sum("words").alias("source_size"))
+    base = checkpointed(expected_copies(words, targets(sizes, weights, share, cap), cap))
+    x = F.col("place.q") / (1 + F.col("place.q"))
+    drawn = (
+        _ranked(rows, base)
+        .filter(F.col("place").isNotNull())
+        .select("source_key", "place", "size", "lacking", F.floor(x * (1 << KEY_BITS)).cast("long").alias("at"))
     )
-    histogram = drawn.groupBy("source_key", "bin").agg(
-        F.sum("size").alias("words"), F.max("lacking").alias("lacking")
+    edge, shift = _edges(drawn, edge_rows)
+    kinds = (
+        _at_edge(drawn, edge, shift)
+        .groupBy("edge_key", "place", "size")
+        .agg(F.count("*").alias("n"), F.max("lacking").alias("lacking"), F.max("before").alias("before"))
     )
-    running = F.sum("words").over(Window.partitionBy("source_key").orderBy("bin"))
-    edge = (
-        histogram.withColumn("upto", running)
+    running = Window.partitionBy("edge_key").orderBy("place")
+    own_words = F.col("n") * F.col("size")
+    state = (
+        kinds.withColumn("upto", F.col("before") + F.sum(own_words).over(running))
         .filter(F.col("upto") > F.col("lacking"))
-        .groupBy("source_key")
-        .agg(
-            F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"),
-            F.max("lacking").alias("wanted"),
-        )
-        .select(F.col("source_key").alias("edge_key"), "edge.bin", "edge.before", "wanted")
-    )
-    edge = checkpointed(edge)
-    place = F.struct("pareto", "key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
-    drawn = drawn.withColumnRenamed("bin", "own_bin").withColumn("place", place)
-    same = F.col("source_key").eqNullSafe(F.col("edge_key"))
-    in_bin = (
-        joined(drawn, edge, same & (F.col("own_bin") == F.col("bin")), "inner")
-        .withColumn(
-            "upto",
-            F.col("before")
-            + F.sum("size").over(
-                Window.partitionBy("edge_key").orderBy("place").rangeBetween(
-                    Window.unboundedPreceding, Window.currentRow
-                )
-            ),
-        )
-        .filter(F.col("upto") <= F.col("lacking"))
+        .withColumn("rest", F.col("lacking") - (F.col("upto") - own_words))
         .groupBy("edge_key")
-        .agg(F.max("place").alias("cut"), F.max("upto").alias("sampled"))
-        .withColumnRenamed("edge_key", "other")
-    )
-    none = F.array().cast("array<struct<pareto:double,key:string,id:bigint>>")
-    state = checkpointed(
-        edge.join(in_bin, F.col("edge_key").eqNullSafe(F.col("other")), "left").select(
+        .agg(F.min(F.struct("place", "size", "n", "rest")).alias("e"))
+        .withColumn("fit", F.floor(F.col("e.rest") / F.col("e.size")).cast("long"))
+        .select(
             "edge_key",
-            "bin",
-            "cut",
-            (F.col("wanted") - F.coalesce("sampled", "before")).alias("gap"),
-            none.alias("closing"),
+            F.col("e.place").alias("cut"),
+            (F.col("fit") < F.col("e.n")).alias("more"),
+            "fit",
+            (F.col("e.rest") - F.col("fit") * F.col("e.size")).alias("gap"),
+            F.array().cast("array<struct<q:double,key:string,id:bigint>>").alias("closing"),
         )
     )
+    state = checkpointed(state)
+    same = F.col("source_key").eqNullSafe(F.col("edge_key"))
     for turn in range(FITS + 1):
+        beyond = (F.col("place") > F.col("cut")) | (F.col("place") == F.col("cut")) & F.col("more")
         left = joined(drawn, state, same, "inner").filter(
-            (
-                (F.col("own_bin") > F.col("bin"))
-                | (F.col("own_bin") == F.col("bin"))
-                & (F.col("cut").isNull() | (F.col("place") > F.col("cut")))
-            )
-            & (F.col("size") > 0)
-            & ~F.array_contains("closing", F.col("place"))
+            beyond & (F.col("size") > 0) & ~F.array_contains("closing", F.col("place"))
         )
         miss = F.abs(F.col("gap") - F.col("size"))
         fits = F.col("size") <= F.col("gap") if turn < FITS else miss < F.abs("gap")
@@ -184,39 +233,77 @@ def mixing_plan(
         state = checkpointed(
             state.join(best, F.col("edge_key").eqNullSafe(F.col("other")), "left").select(
                 "edge_key",
-                "bin",
                 "cut",
+                "more",
+                "fit",
                 (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
                 F.when(F.col("best").isNull(), F.col("closing"))
                 .otherwise(F.concat("closing", F.array("best.place")))
                 .alias("closing"),
             )
         )
-    return checkpointed(
-        base.join(state, same, "left").select(
-            "source_key", "source_size", "target", F.col("bin").alias("edge_bin"), "cut", "closing"
-        )
+    own = F.struct(F.col("cut").alias("place"), F.col("fit").alias("wanted"))
+    added = F.transform("closing", lambda c: F.struct(c.alias("place"), F.lit(1).cast("long").alias("wanted")))
+    single = (
+        state.select("edge_key", F.explode(F.concat(F.array(own), added)).alias("e"))
+        .groupBy("edge_key", F.col("e.place").alias("single"))
+        .agg(F.sum("e.wanted").alias("wanted"))
+        .filter("wanted > 0")
+    )
+    there = (
+        joined(drawn, single, same & (F.col("place") == F.col("single")), "inner")
+        .groupBy("edge_key", "single", "wanted")
+        .agg(F.count("*").alias("there"))
     )
+    return base, state.select("edge_key", "cut"), checkpointed(there)
 
 
-def _decided(rows: DataFrame, plan: DataFrame, bins: int) -> DataFrame:
-    """Rows with ``source_size, target, copies, taken``."""
-    ranked = _ranked(rows, plan)
-    own_bin = F.floor(F.col("pareto") / (1 + F.col("pareto")) * bins).cast("int")
-    place = F.struct("pareto", "key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
-    sampled = (
-        F.col("edge_bin").isNull()
-        | (own_bin < F.col("edge_bin"))
-        | (own_bin == F.col("edge_bin")) & F.coalesce(place <= F.col("cut"), F.lit(False))
-        | F.coalesce(F.array_contains("closing", place), F.lit(False))
+def _nth(rows: DataFrame) -> DataFrame:
+    """The rows of places that are taken in part, each with ``nth``, its number among the equal ones.
+
+    They are numbered within the task that read them, and from task to task by the counts of each.
+    """
+    rows = stored(rows.withColumn("task", F.spark_partition_id()))
+    which = ["edge_key", "single"]
+    before = Window.partitionBy(*which).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*which, "task").agg(F.count("*").alias("in_task")).select(
+        F.col("edge_key").alias("e"),
+        F.col("single").alias("s"),
+        F.col("task").alias("t"),
+        F.coalesce(F.sum("in_task").over(before), F.lit(0)).alias("earlier"),
     )
-    copies = F.col("whole") + F.when(F.col("pareto").isNotNull() & sampled, 1).otherwise(0)
-    return ranked.withColumn("copies", copies.cast("long")).withColumn(
+    own = F.row_number().over(Window.partitionBy(*which, "task").orderBy("size"))
+    same = F.col("edge_key").eqNullSafe(F.col("e")) & (F.col("single") == F.col("s")) & (F.col("task") == F.col("t"))
+    return (
+        rows.withColumn("own", own)
+        .join(counts, same)
+        .withColumn("nth", F.col("own") + F.col("earlier"))
+        .drop("task", "own", "earlier", "e", "s", "t")
+    )
+
+
+def _decided(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Rows with ``source_size, target, copies, taken``."""
+    base, cuts, single = plan
+    ranked = _ranked(rows, base)
+    placed = joined(ranked, cuts.withColumnRenamed("edge_key", "cut_key"), F.col("source_key").eqNullSafe(F.col("cut_key")))
+    same = F.col("source_key").eqNullSafe(F.col("edge_key")) & (F.col("place") == F.col("single"))
+    placed = joined(placed, single, same)
+    partly = F.coalesce(F.col("wanted") < F.col("there"), F.lit(False))
+    nth = F.lit(1).cast("long")
+    if not single.filter(partly).isEmpty():
+        some = _nth(placed.filter(partly))
+        placed = placed.filter(~partly).withColumn("nth", nth).unionByName(some)
+        nth = F.col("nth")
+    before = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
+    sampled = F.col("place").isNotNull() & (before | F.coalesce(nth <= F.col("wanted"), F.lit(False)))
+    copies = F.coalesce("whole", F.lit(0)) + F.when(sampled, 1).otherwise(0)
+    return placed.withColumn("copies", copies.cast("long")).withColumn(
         "taken", F.col("copies") * F.col("size")
     )
 
 
-def mix(
+def _mixed(
     df: DataFrame,
     seed: int = 7,
     id_col: str = "doc_id",
@@ -225,19 +312,27 @@ def mix(
     weights=WEIGHTS,
     share: float = SHARE,
     cap: int = CAP,
-    bins: int = BINS,
+    edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
-    """All rows with ``size, source_size, target, copies, taken``."""
-    record = without(df, OUT)
+    """``_record`` (a row of ``df``) with the columns of ``OUT``."""
+    size = word_count(text_col)
     narrow = [
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        word_count(text_col).alias("size"),
+        size.alias("size"),
         draw_key(id_col, text_col, seed).alias("key"),
     ]
-    plan = mixing_plan(checkpointed(df.select(*narrow)), weights, share, cap, bins)
-    rows = record.select(F.struct(*[F.col(f"`{c}`") for c in record.columns]).alias("_record"), *narrow)
-    return _decided(rows, plan, bins).select("_record.*", *OUT)
+    length_class = F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_record")
+    rows = checkpointed(df.select(*narrow).withColumn("class", length_class))
+    plan = mixing_plan(rows, weights, share, cap, edge_rows)
+    return _decided(df.select(record, *narrow).withColumn("class", length_class), plan)
+
+
+def mix(df: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """All rows with ``size, source_size, target, copies, taken``."""
+    names = without(df, OUT).columns
+    return _mixed(df, seed, **options).select(*[F.col(f"_record.`{c}`") for c in names], *OUT)
 
 
 def mix_digest(df: DataFrame, seed: int = 7, **options) -> DataFrame:
@@ -247,11 +342,9 @@ def mix_digest(df: DataFrame, seed: int = 7, **options) -> DataFrame:
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken."""
-    return mix(df, **options).filter("copies > 0").select(
-        *[F.col(f"`{c}`") for c in df.columns if c.lower() not in OUT],
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
-    ).drop("_copy")
+    """The mix itself: every row, all its columns as they are, as often as it is taken."""
+    taken = _mixed(df, **options).filter("copies > 0")
+    return taken.select("_record", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_record.*")
 
 
 MIX_SQL = r"""
@@ -278,18 +371,36 @@ WITH docs AS (
   SELECT source, source_size,
          least(CAST(source_size * 2 AS DOUBLE), w * (SELECT arg_min(level, place) FROM levels WHERE need >= level)) AS target
   FROM levels
-), expected AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
-         (CAST(('0x' || substr(d.key, 1, 12)) AS UBIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), classed AS (
+  SELECT *, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS class FROM docs
+), words AS (
+  SELECT c.source, class, t.source_size, t.target, CAST(sum(size) AS BIGINT) AS words
+  FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+), class_levels AS (
+  SELECT *, (target - CAST(sum(words) OVER (PARTITION BY source ORDER BY class DESC) - words AS DOUBLE) * 2)
+    / CAST(sum(words * class) OVER (PARTITION BY source) - sum(words * class) OVER (PARTITION BY source ORDER BY class DESC) + words * class AS DOUBLE) AS level
+  FROM words
+), shared AS (
+  SELECT source, arg_max(level, class) AS level FROM class_levels WHERE class > 0 AND 2::DOUBLE / class >= level GROUP BY source
+), class_plan AS (
+  SELECT l.source, l.class, l.source_size, l.target, l.words,
+         CASE WHEN class = 0 THEN 0::DOUBLE ELSE least(2::DOUBLE, coalesce(class * s.level, 2::DOUBLE)) END AS e
+  FROM class_levels l LEFT JOIN shared s ON l.source IS NOT DISTINCT FROM s.source
+), lacks AS (
+  SELECT *, target - CAST(sum(CAST(floor(e) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS lacking FROM class_plan
 ), pareto AS (
-  SELECT *, CAST(floor(e) AS BIGINT) AS whole, target - CAST(floor(e) AS BIGINT) * source_size AS lacking,
-         CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q
-  FROM expected
+  SELECT *, CAST(floor(e) AS BIGINT) AS whole,
+         CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q,
+         row_number() OVER (PARTITION BY source, key, coalesce(doc_id, -1)) AS nth
+  FROM (
+    SELECT c.*, p.source_size, p.target, p.e, p.lacking,
+           (CAST(('0x' || substr(c.key, 1, 12)) AS UBIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+    FROM classed c JOIN lacks p ON c.source IS NOT DISTINCT FROM p.source AND c.class = p.class
+  )
 ), running AS (
   SELECT *, CASE WHEN q IS NOT NULL THEN
          sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END)
-         OVER (PARTITION BY source ORDER BY q NULLS LAST, key, coalesce(doc_id, -1)) END AS upto
+         OVER (PARTITION BY source ORDER BY q NULLS LAST, key, coalesce(doc_id, -1), nth) END AS upto
   FROM pareto
 ), gaps AS (
   SELECT *, lacking - coalesce(max(CASE WHEN upto <= lacking THEN upto END) OVER (PARTITION BY source), 0) AS gap
@@ -311,8 +422,12 @@ WITH docs AS (
   WHERE abs(gap - size) < abs(gap) GROUP BY source
 ), closing AS (
   SELECT source, b.p.key AS key, b.p.id AS id FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)
+), beyond AS (
+  SELECT source, key, coalesce(doc_id, -1) AS id, min(nth) AS nth FROM gaps WHERE upto > lacking AND size > 0 GROUP BY ALL
 )
 SELECT g.doc_id, g.size, g.source_size, g.target,
-       CAST((whole + CASE WHEN upto <= lacking THEN 1 WHEN c.key IS NOT NULL AND upto > lacking THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM gaps g LEFT JOIN closing c ON g.source IS NOT DISTINCT FROM c.source AND g.key = c.key AND coalesce(g.doc_id, -1) = c.id
+       CAST((whole + CASE WHEN upto <= lacking THEN 1 WHEN c.key IS NOT NULL AND g.nth = b.nth THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM gaps g
+LEFT JOIN closing c ON g.source IS NOT DISTINCT FROM c.source AND g.key = c.key AND coalesce(g.doc_id, -1) = c.id
+LEFT JOIN beyond b ON g.source IS NOT DISTINCT FROM b.source AND g.key = b.key AND coalesce(g.doc_id, -1) = b.id
 """

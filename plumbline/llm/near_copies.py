@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import checkpointed, stored, text_bytes
+from .common import checkpointed, slices, stored, text_bytes
 from .simhash import _LOWER, components, first_of_each
 
 BANDS, DEPTH = 40, 5

@@ -14,6 +14,8 @@ import numpy as np
 BITS = 18
 SIZES = (3, 4, 5)
 FEATURES = 6000
+#: Bytes whose n-grams are held at once; memory is some 20 times as much.
+WINDOW = 2 << 20
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256)
@@ -26,7 +28,7 @@ def _buckets(data: np.ndarray, size: int) -> np.ndarray:
     value = np.full(n, size, dtype=np.uint32)
     for j in range(size):
         value *= np.uint32(0x01000193)
-        value ^= data[j : j + n]
+        value ^= data[j : j + n].astype(np.uint32)
     value *= np.uint32(0x9E3779B1)
     value ^= value >> np.uint32(15)
     value *= np.uint32(0x85EBCA77)
@@ -40,22 +42,23 @@ def grams(data: bytes, offsets: list[int], wanted: np.ndarray | None = None):
     """
     texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     joined = (b" " + b" ".join(texts) + b" ").translate(_FOLD)
-    flat = np.frombuffer(joined, dtype=np.uint8).astype(np.uint32)
+    flat = np.frombuffer(joined, dtype=np.uint8)
     lengths = np.diff(offsets)
     starts = np.cumsum(lengths + 1) - lengths - 1  # of the space before each text
     ends = starts + lengths + 2
     keys = []
-    for size in SIZES:
-        if len(flat) < size:
-            continue
-        place = _buckets(flat, size)
-        if wanted is None:
-            at = np.arange(len(place))
-        else:
-            at = np.flatnonzero(wanted[place])
-        doc = np.searchsorted(starts, at, side="right") - 1
-        whole = at + size <= ends[doc]
-        keys.append(doc[whole].astype(np.int64) << BITS | place[at[whole]].astype(np.int64))
+    for first in range(0, len(flat), WINDOW):
+        for size in SIZES:
+            window = flat[first : first + WINDOW + size - 1]
+            if len(window) < size:
+                continue
+            place = _buckets(window, size)
+            at = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place])
+            doc = np.searchsorted(starts, at + first, side="right") - 1
+            whole = at + first + size <= ends[doc]
+            keys.append(doc[whole].astype(np.int64) << BITS | place[at[whole]].astype(np.int64))
+        if len(keys) > 3 * len(SIZES):
+            keys = [np.unique(np.concatenate(keys))]
     found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
     return found >> BITS, found & ((1 << BITS) - 1)
 
@@ -100,7 +103,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, penalty: float = 1
     if not n or y.min() == y.max():
         return constant(share)
     frequency = np.zeros((2, 1 << BITS))
-    step = 200
+    step = 200  # texts; their n-grams are held window by window
     for i in range(0, n, step):
         part = texts[i : i + step]
         doc, place = grams(b"".join(part), np.cumsum([0, *map(len, part)]).tolist())

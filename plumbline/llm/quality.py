@@ -15,7 +15,7 @@ Defined results: a text without words (null, blank) gets the lowest probability,
 of their own; repeated rows are scored row by row; a null label is no label, and of repeated labels
 the highest holds; without labels of both classes all documents with words get the share of label 1
 (1 without labels); an empty table gives an empty result; input columns named like an output column
-are replaced by it.
+are replaced by it, and all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import checkpointed, joined, without
+from .common import checkpointed, joined, slices, stored, without
 from .labels import labelled_sample
 
 #: Labelled documents of each class that the classifier is fitted on at most.
@@ -115,17 +114,22 @@ def fit_shape(texts: list[str], labels: np.ndarray, share: float, penalty: float
     return ShapeModel(mean, scale, w[:-1], w[-1] + shift)
 
 
-def with_evidence(df: DataFrame, model: ShapeModel, text_col: str = "text") -> DataFrame:
+def with_evidence(
+    df: DataFrame, model: ShapeModel, text_col: str = "text", drop_text: bool = False
+) -> DataFrame:
+    """Every row with ``evidence``; without the text if ``drop_text``."""
     kept = without(df, ["evidence"])
-    schema = T.StructType([*kept.schema.fields, T.StructField("evidence", T.DoubleType())])
+    names = [c for c in kept.columns if not (drop_text and c == text_col)]
+    fields = [kept.schema[c] for c in names]
+    schema = T.StructType([*fields, T.StructField("evidence", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 found = model.probability(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found, pa.float64())],
-                    names=[*part.schema.names, "evidence"],
+                    [*[part.column(c) for c in names], pa.array(found, pa.float64())],
+                    names=[*names, "evidence"],
                 )
 
     return kept.mapInArrow(run, schema)
@@ -189,18 +193,26 @@ def judge(
     label_col: str = "quality",
     threshold: float = THRESHOLD,
     sample: int = SAMPLE,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """All rows with ``evidence, host_mean, site_mean, quality_score, keep``."""
+    """All rows with ``evidence, host_mean, site_mean, quality_score, keep``.
+
+    ``columns``: the input columns of the result (all if not given). The evidence of a row is computed once
+    and stored with these columns.
+    """
     texts, marks, share = labelled_sample(df, labels, label_col, id_col, text_col, sample)
     model = fit_shape(texts, marks, share)
-    record = without(df, OUT)
-    sites = {"_host": F.col(host_col).cast("string"), "_path": F.col(path_col).cast("string")}
-    narrow = df.select(*[c.alias(n[1:]) for n, c in sites.items()], F.col(text_col).alias("text"))
-    table, mean = site_table(with_evidence(narrow, model).drop("text"))
-    rows = with_evidence(record.withColumns(sites), model, text_col)
-    both = joined(
-        rows, table, rows._host.eqNullSafe(table.site_host) & rows._path.eqNullSafe(table.site_path)
+    kept = without(df.select(*[F.col(f"`{c}`") for c in columns or df.columns]), OUT)
+    sites = {"site_host_of": host_col, "site_path_of": path_col}
+    inner = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept.columns)]
+    inner += [F.col(f"`{c}`").cast("string").alias(n) for n, c in sites.items()]
+    scored = with_evidence(df.select(*inner, F.col(f"`{text_col}`").alias("text")), model, drop_text=True)
+    rows = stored(scored)
+    table, mean = site_table(
+        rows.select(F.col("site_host_of").alias("host"), F.col("site_path_of").alias("path"), "evidence")
     )
+    same = F.col("site_host_of").eqNullSafe(F.col("site_host"))
+    both = joined(rows, table, same & F.col("site_path_of").eqNullSafe(F.col("site_path")))
     own = F.col("evidence")
     host = (F.col("host_s") - own + F.col("to_all") * mean) / (F.col("host_n") - 1 + F.col("to_all"))
     site = (F.col("s") - own + F.col("to_host") * host) / (F.col("n") - 1 + F.col("to_host"))
@@ -209,7 +221,7 @@ def judge(
     score = 1 / (1 + F.exp(-(odds(held(own)) + odds(held(site)) - odds(F.lit(mean)))))
     score = F.when(own > LOWEST, score).otherwise(F.least(score, F.lit(LOWEST)))  # no site saves it
     return both.select(
-        *[F.col(f"`{c}`") for c in record.columns],
+        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept.columns)],
         "evidence",
         held(host).alias("host_mean"),
         held(site).alias("site_mean"),

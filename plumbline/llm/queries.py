@@ -54,8 +54,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host is the source and path the language: documents have no address."""
     from .quality import OUT, judge
 
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return judge(documents, table(spark, sf_dir, "labels")).select("doc_id", *OUT)
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judge(documents, labels, columns=["doc_id"]).select("doc_id", *OUT)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bpe import slices
-from .common import checkpointed, stored, text_bytes, without
+from .common import checkpointed, slices, stored, text_bytes, without
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 50_000

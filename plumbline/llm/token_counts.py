@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import InUse, slices
+from .bpe import InUse
+from .common import slices
 
 #: Most cached pre-tokens, in each of two generations; merged pre-tokens of one call.
 CACHED_PIECES = 200_000

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams
-from .bpe import slices
-from .common import text_bytes, without
+from .common import slices, text_bytes, without
 from .labels import labelled_sample
 
 SAMPLE = 2500

@@ -132,3 +132,51 @@ def test_mix_against_sql(spark, sf_dir):
     want = sorted(con.sql(mixing.MIX_SQL).fetchall())
     got = sorted(map(tuple, mixing.mix_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()))
     assert got == want
+
+
+def test_equal_rows_are_taken_in_part(spark):
+    rows = [(None, "five words are in here", "en", "s0", 1)] * 900 + [(i, "a b c", "en", "s1", 1) for i in range(100)]
+    df = docs(spark, rows).repartition(5)
+    got = mixing.mix_digest(df).collect()
+    taken = Counter()
+    for r in got:
+        taken["s0" if r.size == 5 else "s1"] += r.taken
+        assert r.taken in (0, r.size, 2 * r.size)
+    want = water_fill({"s0": 4500, "s1": 300})
+    assert {s: abs(taken[s] - want[s]) <= 5 for s in want} == {"s0": True, "s1": True}
+    assert mixing.mixed_documents(df).count() == sum(r.taken // r.size for r in got)
+
+
+def test_few_rows_are_ranked_at_once(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = sorted(map(tuple, mixing.mix_digest(df).collect()))
+    assert sorted(map(tuple, mixing.mix_digest(df, edge_rows=1).collect())) == wide
+
+
+def test_inclusion_follows_the_length_class(spark):
+    """Every source is a draw of its own from the same sizes; frequencies come near p."""
+    sizes, draws = [3, 5, 6, 12, 20, 33, 60, 90, 130, 250] * 30, 30
+    rows = [(d * 1000 + i, " ".join(["w"] * n), "en", f"s{d:04}", n) for d in range(draws) for i, n in enumerate(sizes)]
+    got = mixing.mix(docs(spark, rows), weights=(1,), share=0.8).collect()
+    copies, target = defaultdict(int), got[0].target
+    for r in got:
+        copies[r.n_chars] += r.copies
+    total = Counter(sizes)
+    low, high = 0.0, 10.0
+    for _ in range(100):  # the level, by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(n * min(2, level * n.bit_length()) for n in sizes) < target else (low, level)
+    for n, c in copies.items():
+        assert c / (draws * total[n]) == pytest.approx(min(2, level * n.bit_length()), abs=0.06)
+    assert copies[250] > 1.5 * copies[3]
+
+
+def test_mix_keeps_columns_whatever_their_names(spark):
+    names = ["size", "taken", "copies", "place", "q", "key", "cut", "edge_key", "single", "nth", "class", "_record", "whole", "p"]
+    df = docs(spark, plain(40)).selectExpr("*", *[f"concat('{n}', coalesce(doc_id, 0)) AS `{n}`" for n in names], "NULL AS nothing")
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        assert all(r[n] == f"{n}{r.doc_id or 0}" for n in names) and r.nothing is None
+    out = mixing.mix(df)
+    assert sorted(out.columns) == sorted({*df.columns, *mixing.OUT}) and dict(out.dtypes)["size"] == "bigint"
