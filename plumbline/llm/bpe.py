@@ -23,6 +23,9 @@ an input column named like an output column is replaced by it.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import hashlib
 import struct
 import threading
@@ -352,9 +355,12 @@ class Codec:
         return b"".join([known[p] for p in self.split(text)])
 
     def release(self) -> None:
-        """Empties the caches; what is left is the vocabulary."""
+        """Empties the caches and forgets the codec; the next task of the worker builds it anew."""
         self.pieces = _Pieces(self.machine, self.most)
         self.machine.release()
+        for key in [k for k, c in _CODECS.items() if c is self]:
+            del _CODECS[key]
+        load_ranks.cache_clear()
 
     def ids(self, text: str) -> list[int]:
         return memoryview(self.encode(text)).cast("I").tolist()
@@ -377,6 +383,12 @@ class Codec:
         return "".join(out) + machine.finish()
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class InUse:
     """While a task runs, its caches stay; a while after the last task of a worker they go, so that
     idle workers leave their memory to other stages."""
@@ -404,7 +416,9 @@ class InUse:
         with self.lock:
             if not self.tasks and self.turn == turn:
                 self.release()
+                gc.collect()
                 pa.default_memory_pool().release_unused()
+                _give_back()
 
 
 _CODECS: dict[tuple[str, str, float], Codec] = {}

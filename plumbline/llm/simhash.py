@@ -12,8 +12,8 @@ star steps on tables.
 Defined results: a text that is null, empty or white space has fingerprint zero and is linked like
 any other; texts are taken whole; fewer words than a shingle are one shingle; a null id
 never names a component unless it has no other id; repeated rows share a component; an empty
-table gives an empty result; other columns are carried or ignored, and a column named like an
-output column is replaced by it.
+table gives an empty result; other columns are carried or ignored. The rows that :func:`deduplicated`
+leaves keep all their columns.
 """
 
 from __future__ import annotations
@@ -23,21 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import checkpointed, slices, stored, text_bytes, without
+from .common import aside, checkpointed, joined, slices, stored, text_bytes, without
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 50_000
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """64 bits, each set if it is set in over half of the shingles' XXH64; no word: 0."""
+def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; fewer words than ``width`` are one shingle."""
     import xxhash
 
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -47,14 +46,22 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    return np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64, len(starts))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; of none: 0."""
     totals = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(starts), CHUNK):
-        spans = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], seed) for s, e in spans], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        totals += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.flatnonzero(2 * totals > len(starts)).tolist()
-    return sum(1 << b for b in set_bits)
+    for i in range(0, len(hashes), CHUNK):
+        some = hashes[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        totals += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << b for b in np.flatnonzero(2 * totals > len(hashes)).tolist())
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's shingles; without words: 0."""
+    return print_of(shingle_hashes(text, width, seed))
 
 
 def parity(a: int, b: int) -> int:
@@ -288,38 +295,35 @@ def deduplicated(
 
     The rows are stored once with their fingerprints; what is to go is decided on ids and
     fingerprints alone and taken out by place in the stored files, broadcast only if it
-    is no more than ``most`` places.
+    is no more than ``most`` places. All columns are kept whatever their names.
     """
-    rows = stored(with_fingerprint(df, text_col, "_fingerprint", width, seed))
-    found = component_of(rows, id_col, "_fingerprint", radius).select("fp", "root")
-    return first_of_each(rows, found, "_fingerprint", df.columns, id_col, most)
+    inner, back = aside(df, [id_col, text_col])
+    rows = stored(with_fingerprint(inner, text_col, "own_print", width, seed))
+    found = component_of(rows, id_col, "own_print", radius).select(F.col("fp").alias("node"), "root")
+    return back(first_of_each(rows, found, "own_print", id_col, most))
 
 
-def first_of_each(
-    rows: DataFrame, found: DataFrame, own_col: str, columns: list[str], id_col: str, most: int
-) -> DataFrame:
-    """The stored rows with one of each root of ``found`` (fp, root) left: that of the least id."""
+def first_of_each(rows: DataFrame, found: DataFrame, own_col: str, id_col: str, most: int) -> DataFrame:
+    """The stored rows with one of each group left: that of the least id, a null id only if there is no
+    other. ``found`` has ``node`` (a value of ``own_col``) and ``root``; a node without is its own root.
+
+    Copies are combined before the shuffle, so a node of many rows is one row for each task.
+    """
+    located = {"at_file": F.col("_metadata.file_name"), "at_row": F.col("_metadata.row_index")}
     placed = rows.select(
-        F.col(id_col).alias("id"),
-        F.col(own_col).alias("own"),
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
+        F.col(id_col).alias("id"), F.col(own_col).alias("own"), *[c.alias(n) for n, c in located.items()]
     )
-    first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "_file", "_row")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "at_file", "at_row")
+    first = placed.groupBy("own").agg(F.min(order).alias("first"))
+    rooted = first.join(found, first.own == found.node, "left")
     stays = (
-        placed.join(found, placed.own == found.fp)
-        .withColumn("rank", F.row_number().over(first))
-        .filter("rank = 1")
-        .select("_file", "_row")
+        rooted.groupBy(F.coalesce("root", "own").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select("first.at_file", "first.at_row")
     )
     gone = checkpointed(
-        placed.select("_file", "_row").join(stays, ["_file", "_row"], "left_anti")
-    )
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
-    located = rows.select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        placed.select("at_file", "at_row").join(stays, ["at_file", "at_row"], "left_anti")
     )
-    return located.join(gone, ["_file", "_row"], "left_anti").select(
-        *[F.col(f"`{c}`") for c in columns]
+    return joined(rows.withColumns(located), gone, ["at_file", "at_row"], "left_anti", most).select(
+        *[F.col(f"`{c}`") for c in rows.columns]
     )
