@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, in_arrow
 from .vectors import QUERY_CHUNK, best, blocks, distinct, empty, query_chunks, usable
 
 SAMPLE = 8192
@@ -198,7 +198,7 @@ def nearest(
         fitted = len(once) - len(once) // 4
         centroids = fit_centroids(once[:fitted], max(1, min(int(n**0.5), lists, fitted)), seed)
         probes = lists_to_probe(once[fitted:], centroids, k, recall)
-        listed = own.mapInArrow(_assign(centroids), "list int, vec_id long, v array<double>")
+        listed = in_arrow(own, _assign(centroids), "list int, vec_id long, v array<double>")
         listed = checkpointed(listed)
         sizes = dict(listed.groupBy("list").count().collect())
         split = F.create_map(*[F.lit(x) for i, m in sizes.items() for x in (i, -(-m // BLOCK))])
@@ -227,7 +227,7 @@ def nearest(
                     "bound": bound,
                     "by_list": {cell: np.array(rows_) for cell, rows_ in by_list.items()},
                 }
-                entries = dealt.mapInArrow(_scan(index, k, epsilon), SCHEMA)
+                entries = in_arrow(dealt, _scan(index, k, epsilon), SCHEMA)
                 entries = entries.unionByName(spark.createDataFrame(first))
                 entries = entries.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
                 ranked = entries.withColumn("rank", F.row_number().over(by_score))

@@ -23,9 +23,6 @@ an input column named like an output column is replaced by it.
 from __future__ import annotations
 
 import base64
-import contextlib
-import ctypes
-import gc
 import hashlib
 import struct
 import threading
@@ -36,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, without
+from .common import give_back, in_arrow, slices, without
 
 #: Seconds after which a worker without a task empties its caches.
 IDLE_SECONDS = 2.0
@@ -45,6 +42,7 @@ IDLE_SECONDS = 2.0
 CACHED_PIECES = 150_000
 CACHED_MOVES = 400_000
 CACHED_PAIRS = 100_000
+CACHED_EDGES = 8192
 NEVER = 1 << 60
 #: How a move packs the next state and what it emits.
 TOKEN, SEVERAL = 1 << 28, 1 << 30
@@ -106,6 +104,7 @@ class Transducer:
 
     def release(self) -> None:
         self._compatible.clear()
+        self._edges.clear()
         self._reset()
 
     def _state(self, alive: list[tuple]) -> int:
@@ -150,6 +149,8 @@ class Transducer:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
             left.append((parts[0], NEVER))
             right.append((parts[-1], NEVER))
+            if len(self._edges) >= CACHED_EDGES:
+                self._edges.clear()
             found = self._edges[token] = (left, right, len(parts) == 1)
         return found
 
@@ -383,12 +384,6 @@ class Codec:
         return "".join(out) + machine.finish()
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 class InUse:
     """While a task runs, its caches stay; a while after the last task of a worker they go, so that
     idle workers leave their memory to other stages."""
@@ -416,9 +411,8 @@ class InUse:
         with self.lock:
             if not self.tasks and self.turn == turn:
                 self.release()
-                gc.collect()
                 pa.default_memory_pool().release_unused()
-                _give_back()
+                give_back()
 
 
 _CODECS: dict[tuple[str, str, float], Codec] = {}
@@ -452,7 +446,7 @@ def encode_texts(
                 [*part.columns, ids], names=[*part.schema.names, ids_col]
             )
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def decode_ids(
@@ -472,7 +466,7 @@ def decode_ids(
                     names=[*part.schema.names, decoded_col],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def round_trip(
@@ -511,4 +505,4 @@ def round_trip(
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)

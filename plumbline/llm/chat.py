@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_arrow
+
 ROLES = ("system", "user", "assistant")
 SEGMENT = 1000
 #: Words that mark a speaker, by role (fixed values).
@@ -232,7 +234,7 @@ def fit(turns: DataFrame) -> Hmm:
             names=["kind", "a", "b", "n"],
         )
 
-    counted = rows.mapInArrow(count, "kind string, a int, b int, n long")
+    counted = in_arrow(rows, count, "kind string, a int, b int, n long")
     start, move, emit = prior_counts()
     for r in counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
         if r.kind == "start":
@@ -334,7 +336,7 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
                     names=[*part.schema.names, "found_roles", "n_lines", "rendered"],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
@@ -364,12 +366,10 @@ def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
 
     several = cut.groupBy("conv_id").count().filter("count > 1").select(F.col("conv_id").alias("several"))
     parts = cut.join(several, cut.conv_id.eqNullSafe(several.several), "left_semi")
-    ends = (
-        parts.select("conv_id", "segment", "transcript")
-        .mapInArrow(pass_through, "conv_id long, segment long, m array<double>")
-        .groupBy("conv_id")
-        .applyInArrow(decide, "of long, at long, _before int, _last int")
+    passed = in_arrow(
+        parts.select("conv_id", "segment", "transcript"), pass_through, "conv_id long, segment long, m array<double>"
     )
+    ends = passed.groupBy("conv_id").applyInArrow(decide, "of long, at long, _before int, _last int")
     on = cut.conv_id.eqNullSafe(ends.of) & (cut.segment == ends["at"])
     return cut.join(ends, on, "left").drop("of", "at")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -39,6 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or found
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default.
+BATCH_BYTES = "8m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size: rows hold whole texts, and Spark's default of 64 MB is
+    held several times by a task. The setting belongs to the session and stays."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH_SETTING, str(_BATCH_DEFAULT)))
+    if now.lower().rstrip("b") in (str(_BATCH_DEFAULT), "64m"):
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, where the C library can do that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a replicated copy in the shared folder."""
     shared_dir(df.sparkSession)

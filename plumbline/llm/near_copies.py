@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, checkpointed, joined, slices, stored, text_bytes
+from .common import aside, checkpointed, in_arrow, joined, slices, stored, text_bytes
 from .simhash import components, first_of_each, links, print_of, shingle_hashes
 
 BANDS, DEPTH = 40, 5
@@ -97,7 +97,7 @@ def with_sketch(df: DataFrame, text_col: str, width: int, seed: int = 42) -> Dat
                     names=[*part.schema.names, *_SKETCH],
                 )
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def _sets(width: int, seed: int = 42):
@@ -218,11 +218,10 @@ def _checked(similarity: float):
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
-    return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        .mapInArrow(_checked(similarity), "a long, b long")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"
     )
+    return in_arrow(both, _checked(similarity), "a long, b long")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -311,12 +310,8 @@ def groups(
         .distinct()
     )
     texts = rows.select(F.col("own_set").alias("node"), F.col(text_col).alias("text"))
-    sets = stored(
-        joined(texts, asked, "node", "left_semi", MOST)
-        .mapInArrow(_sets(width), "node long, grams binary")
-        .groupBy("node")
-        .agg(F.first("grams").alias("grams"))
-    )
+    found = in_arrow(joined(texts, asked, "node", "left_semi", MOST), _sets(width), "node long, grams binary")
+    sets = stored(found.groupBy("node").agg(F.first("grams").alias("grams")))
     linked, roots = checkpointed(_verified(prints, sets, similarity)), None
     for level in range(1, LEVELS + 1):
         for turn in range(STAR_ROUNDS):
@@ -327,20 +322,20 @@ def groups(
         several = checkpointed(_several(placed))
         last = level == LEVELS
         whole = several if last else several.filter(F.col("n") <= limit)
-        found = (
+        dealt = (
             joined(placed, whole.select("key"), "key", "inner", MOST)
             .join(sets, "node")
             .select("key", "node", "grams", "root")
             .repartition("key")
             .sortWithinPartitions("key")
-            .mapInArrow(_joined_in_buckets(similarity), "a long, b long")
         )
+        found = in_arrow(dealt, _joined_in_buckets(similarity), "a long, b long")
         linked = checkpointed(linked.unionByName(found))
         hot = several.filter(F.col("n") > limit).select("key")
         if last or hot.isEmpty():
             return _all_roots(components(linked))
         again = joined(placed, hot, "key", "inner", MOST).join(sets, "node").select("key", "node", "size", "grams")
-        members = _shared(again.mapInArrow(_dealt_again(level), "key long, node long, size long"))
+        members = _shared(in_arrow(again, _dealt_again(level), "key long, node long, size long"))
         roots = checkpointed(_all_roots(components(linked)))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, joined, slices, stored, without
+from .common import checkpointed, give_back, in_arrow, joined, slices, stored, without
 from .labels import labelled_sample
 
 #: Labelled documents of each class that the classifier is fitted on at most.
@@ -132,7 +132,7 @@ def with_evidence(
                     names=[*names, "evidence"],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def site_table(scored: DataFrame) -> tuple[DataFrame, float]:
@@ -202,6 +202,8 @@ def judge(
     """
     texts, marks, share = labelled_sample(df, labels, label_col, id_col, text_col, sample)
     model = fit_shape(texts, marks, share)
+    del texts
+    give_back()
     kept = without(df.select(*[F.col(f"`{c}`") for c in columns or df.columns]), OUT)
     sites = {"site_host_of": host_col, "site_path_of": path_col}
     inner = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept.columns)]

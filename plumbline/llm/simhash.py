@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, checkpointed, joined, slices, stored, text_bytes, without
+from .common import aside, checkpointed, in_arrow, joined, slices, stored, text_bytes, without
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 50_000
@@ -104,7 +104,7 @@ def with_fingerprint(
                     [*part.columns, column], names=[*part.schema.names, out_col]
                 )
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def signed(x: int) -> int:
@@ -203,7 +203,7 @@ def links(prints: DataFrame, radius: int = 3, bucket_limit: int = 4096) -> DataF
         again = keyed.join(hot, ["t", "key"]).select("fp", F.explode(fuller).alias("at"))
         cold = cold.unionByName(again.select("at.t", "at.key", "fp"))
     dealt = cold.repartition("t", "key").sortWithinPartitions("t", "key")
-    return dealt.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
+    return in_arrow(dealt, _bucket_links(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

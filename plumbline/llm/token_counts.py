@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import InUse
-from .common import slices
+from .common import in_arrow, slices
 
 #: Most cached pre-tokens, in each of two generations; merged pre-tokens of one call.
 CACHED_PIECES = 200_000
@@ -207,4 +207,4 @@ def count_tokens(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)

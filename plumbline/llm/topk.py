@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_arrow
 from .vectors import QUERY_CHUNK, best, blocks, empty, query_chunks, usable
 
 ROWS, QUERIES, PARTS = 2048, 512, 4
@@ -157,10 +158,10 @@ def top_k(
     out = empty(spark, "query_id long, rank int, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     for piece in query_chunks(usable(queries, id_col, vector_col), chunk):
-        lists = rows.mapInArrow(_local_lists(piece, k, scale, parts), SCHEMA)
+        lists = in_arrow(rows, _local_lists(piece, k, scale, parts), SCHEMA)
         ranked = lists.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k)
         cutoffs = {r.query_id: r.score for r in ranked.select("query_id", "score").collect()}
-        entries = rows.mapInArrow(_above_cutoff(piece, cutoffs, k, scale, parts), SCHEMA)
+        entries = in_arrow(rows, _above_cutoff(piece, cutoffs, k, scale, parts), SCHEMA)
         ranked = entries.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
         out = out.unionByName(ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
     return out

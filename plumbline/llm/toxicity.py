@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams
-from .common import slices, text_bytes, without
+from .common import give_back, in_arrow, slices, text_bytes, without
 from .labels import labelled_sample
 
 SAMPLE = 2500
@@ -45,7 +45,10 @@ def fit_toxicity(
     )
     if not len(marks):
         return ngrams.constant(0.0)
-    return ngrams.fit([t.encode("utf-8") for t in texts], marks, share)
+    model = ngrams.fit([t.encode("utf-8") for t in texts], marks, share)
+    del texts
+    give_back()
+    return model
 
 
 def score_texts(
@@ -67,7 +70,7 @@ def score_texts(
                     names=[*part.schema.names, "score", "predicted"],
                 )
 
-    return inner.mapInArrow(run, schema)
+    return in_arrow(inner, run, schema)
 
 
 def classify(
