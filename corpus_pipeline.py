@@ -62,7 +62,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, cache=0.5)
 
 
 STAGES = [
