@@ -6,6 +6,11 @@ neighbours, finds each pre-token's lowest rank, and applies that pair everywhere
 it at once; pre-tokens without a known pair leave. What survives are the tokens. A merge
 only makes pairs of higher rank than its own, so a round gives what one-by-one merging gives.
 
+Such rounds look at every symbol that is left, and a long pre-token needs many. Those above ``LONG``
+bytes are therefore merged rank by rank, still synchronously: the places of each rank are kept in a list, a
+round takes the list of the lowest rank and applies it in all pre-tokens at once, and only places next
+to a merge are looked up anew. Each place enters few lists, so the time grows with the bytes.
+
 Defined results: a null text counts as empty (no bytes, no tokens); texts are taken
 whole; repeated rows and null ids are counted row by row; an empty table gives an empty
 result; other columns are ignored.
@@ -13,6 +18,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -26,6 +32,8 @@ from .common import in_arrow, slices
 #: Most cached pre-tokens, in each of two generations; merged pre-tokens of one call.
 CACHED_PIECES = 200_000
 BATCH_SYMBOLS = 2_000_000
+#: Bytes above which a pre-token is merged rank by rank.
+LONG = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -59,6 +67,75 @@ class MergeTable:
 
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """The number of tokens of each pre-token."""
+        is_long = np.array([len(p) > LONG for p in pieces], dtype=bool)
+        counts = np.zeros(len(pieces), dtype=np.int64)
+        for some, counted in ((np.flatnonzero(~is_long), self._count_short), (np.flatnonzero(is_long), self._count_long)):
+            if len(some):
+                counts[some] = counted([pieces[i] for i in some.tolist()])
+        return counts
+
+    def _count_long(self, pieces: list[bytes]) -> np.ndarray:
+        """Rank by rank, over all pieces at once; the places of a rank are touched only then."""
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        n = int(lengths.sum())
+        symbols = self.bytes_to_symbol[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        after[ends - 1] = -1
+        before[ends - lengths] = -1
+        alive = np.ones(n, dtype=bool)
+        ranks, results = np.full(n, self.none), np.zeros(n, dtype=np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(places: np.ndarray) -> None:
+            """Ranks of the pairs that start at the places, each put on the list of its rank."""
+            ranks[places] = self.none
+            places = places[after[places] >= 0]
+            if not len(places):
+                return
+            found, at = self.rank(symbols[places], symbols[after[places]])
+            known = found != self.none
+            places, found = places[known], found[known]
+            if not len(places):
+                return
+            ranks[places], results[places] = found, self.results[at[known]]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for some, rank in zip(np.split(places, cuts), found[np.r_[0, cuts]].tolist(), strict=True):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(some)
+
+        look_up(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            lists = waiting.pop(rank)
+            places = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            places = places[(ranks[places] == rank) & alive[places]]
+            if not len(places):
+                continue
+            if len(places) > 1:  # in a run of one symbol every other pair is taken, from the left
+                follows = np.r_[False, after[places[:-1]] == places[1:]]
+                if follows.any():
+                    index = np.arange(len(places))
+                    head = np.maximum.accumulate(np.where(follows, 0, index))
+                    places = places[(index - head) % 2 == 0]
+            gone = after[places]
+            symbols[places] = results[places]
+            alive[gone] = False
+            ranks[gone] = self.none
+            right = after[gone]
+            after[places] = right
+            inner = right >= 0
+            before[right[inner]] = places[inner]
+            left = before[places]
+            look_up(np.unique(np.concatenate([places, left[left >= 0]])))
+        return np.add.reduceat(alive.astype(np.int64), ends - lengths)
+
+    def _count_short(self, pieces: list[bytes]) -> np.ndarray:
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         counts = lengths.copy()
         symbols = self.bytes_to_symbol[np.frombuffer(b"".join(pieces), dtype=np.uint8)]

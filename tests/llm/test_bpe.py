@@ -120,3 +120,22 @@ def test_counts_like_the_library(spark):
     assert all(got[i].over_limit == (want[i] > 512) for i in range(len(some)))
     assert (got[-1].n_bytes, got[-1].n_tokens, got[-1].over_limit) == (0, 0, False)
     assert token_counts.count_tokens(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_long_pre_tokens_are_counted_in_time(library):
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    own, other = token_counts.Counter(path, P.PATTERN), tokenizers.Tokenizer.from_file(path)
+    random.seed(11)
+    some = ["".join(random.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aeno", "a", "aA", "éu漢") for n in (257, 3000, 20_000)]
+    some += ["ab" * 5000, "the" * 4000 + " ", "=" * 9999, "\n" * 3001, "a" * 301 + " " + "b" * 777]
+    assert own.count(some) == [len(other.encode(t, add_special_tokens=False).ids) for t in some]
+    pieces = [p.encode() for p in some]
+    assert (own.table._count_long(pieces) == own.table._count_short(pieces)).all()
+    megabyte = "".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=1 << 20))
+    began = time.process_time()
+    (n,) = own.count([megabyte])
+    assert time.process_time() - began < 10
+    assert n == len(library.encode_ordinary(megabyte))
