@@ -55,6 +55,40 @@ def test_top_k_of_large_components_is_exact(spark):
     assert (0, 4) not in got
 
 
+def test_top_k_of_components_beyond_doubles(spark):
+    rows = [(0, [1e308, 1.0], 0), (1, [1e308, -5.0], 0), (2, [-1e308, 2.0], 0), (3, [1e-300, 0.25], 0), (4, [0.0, 0.0], 0), (5, [-1e307, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in topk.top_k(df, df).collect()}
+    high, low = 2**63 - 1, -(2**63)
+    assert [got[(0, i)] for i in (1, 3, 4, 2, 5)] == [(1, high), (2, 64 * 256), (3, 0), (4, low), (5, low)]
+    assert got[(3, 0)] == (1, 64 * 256) and got[(3, 2)][1] == 64 * 512 or got[(3, 2)] == (1, 64 * 512)
+
+
+def test_the_threshold_saves_exact_products():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8192, 64)).astype(np.float32).astype(np.float64)
+    columns = topk._columns(64, topk.PARTS)
+    side = topk.Side(np.arange(len(x)), x, 256.0, columns)
+    q = topk.Side(np.arange(50), x[:50], 256.0, columns)
+    lists = [topk.leaders(side.slice(i, i + 2048), q, 5, 256.0) for i in range(0, len(x), 2048)]
+    ids, _, scores = (np.concatenate(part) for part in zip(*lists, strict=True))
+    cut = np.array([np.sort(scores[ids == i])[-5] for i in range(50)], dtype=np.float64)
+    r, c = topk.reaching(side, q, cut)
+    assert len(ids) + len(r) < 0.02 * len(x) * 50
+    exact = np.floor(256 * x) @ np.floor(256 * x[:50]).T
+    need = exact >= cut[None, :]
+    assert need[r, c].sum() == need.sum()
+
+
+def test_searches_ignore_columns_whatever_their_names(spark):
+    rows, _, _ = random_rows(80)
+    df = table(spark, rows)
+    names = ["v", "query_id", "rank", "score", "list", "part", "n", "vec"]
+    more = df.selectExpr("*", *[f"'x' AS `{n}`" for n in names])
+    for search in (topk.top_k, ann.nearest):
+        assert sorted(search(more, more.filter("vec_id % 50 = 0")).collect()) == sorted(search(df, df.filter("vec_id % 50 = 0")).collect())
+
+
 def test_top_k_against_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
