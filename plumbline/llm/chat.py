@@ -9,14 +9,16 @@ them roles and turns. Turns are rendered as ``<|role|>\\n`` text ``\\n<|end|>\\n
 
 A transcript is one row, so no conversation is gathered from the whole table in one task
 except by its own id: the turns of a conversation are put together by a grouped list, whose partial
-lists are combined before the shuffle. Turns beyond ``SEGMENT`` of one conversation make further
-transcripts of it (segment 1, 2, ...), which bounds the row that a hot conversation id makes. Decoding
-goes across segments: each segment is one max-plus matrix from the state before it to its last state;
-the matrices of a conversation give the states at the borders, and each segment is decoded between
-its own, so the path is a best one of the whole conversation. A turn that goes on over a border is
-rendered in both segments. A segment is as long as the rows whose turn numbers fall into it.
-
-Defined results: null texts are empty turns; null turns come first and ties are ordered by role and text;
+lists are combined before the shuffle. Turn numbers from ``SEGMENT`` on make further transcripts of a
+conversation (segment 1, 2, ...), and where more than ``SEGMENT`` rows have their turn numbers in one segment
+(null, repeated or dense ones), it is cut into parts of that many rows; both bound the row that a hot
+conversation id makes. Decoding goes across segments and parts: each is one max-plus matrix from the state
+before it to its last state; the matrices of a conversation (some 340 bytes for ``SEGMENT`` turns) give
+the states at the borders, and each is decoded between its own, so the path is a best one of the whole
+conversation. A turn that goes on over a border is rendered on both sides.
+
+Defined results: null texts are empty turns; null turns come first and ties are ordered by role and text,
+between parts by role, the first characters of the text and its hash;
 rows that repeat are turns of their own; a null conversation id is a conversation; roles that are
 null or unknown are not learned from; an empty transcript has no turns and is rendered as the empty
 string; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_arrow
+from .common import checkpointed, in_arrow, joined, slices, stored, without
 
 ROLES = ("system", "user", "assistant")
 SEGMENT = 1000
@@ -186,29 +188,34 @@ def ordered_turns() -> list[Column]:
 
 def fit(turns: DataFrame) -> Hmm:
     """Counts over all labelled turns ``conv_id, turn, role, text``, summed before the shuffle."""
+    return fit_segments(segments(turns))
+
+
+def fit_segments(cut: DataFrame) -> Hmm:
+    """:func:`fit` on the rows of :func:`segments`."""
     import pyarrow as pa
 
-    by_place = Window.partitionBy("conv_id", "segment").orderBy(*ordered_turns())
-    cut = segments(turns)
-    ends = cut.groupBy("conv_id", "segment").agg(F.max(F.struct("turn", "role", "text"))["role"].alias("end"))
-    by_segment = Window.partitionBy("conv_id").orderBy("segment")
+    by_place = Window.partitionBy("conv_id", "segment", "part").orderBy(*ordered_turns())
+    ends = cut.groupBy("conv_id", "segment", "part").agg(F.max(F.struct("turn", "role"))["role"].alias("end"))
+    by_segment = Window.partitionBy("conv_id").orderBy("segment", "part")
     ends = ends.select(
         F.col("conv_id").alias("of"),
         F.col("segment").alias("at"),
+        F.col("part").alias("at_part"),
         F.lag("end").over(by_segment).alias("end_before"),
         F.row_number().over(by_segment).alias("nth"),
     ).filter("nth > 1")
     placed = cut.select(
         "conv_id",
         "segment",
+        "part",
         "role",
         "text",
         F.lag("role").over(by_place).alias("before"),
         (F.row_number().over(by_place) == 1).alias("heads"),
     )
-    rows = placed.join(
-        ends, placed.heads & placed.conv_id.eqNullSafe(ends.of) & (placed.segment == ends["at"]), "left"
-    ).select(
+    same = placed.conv_id.eqNullSafe(ends.of) & (placed.segment == ends["at"]) & (placed.part == ends.at_part)
+    rows = placed.join(ends, placed.heads & same, "left").select(
         "role",
         "text",
         F.coalesce("before", "end_before").alias("before"),
@@ -272,26 +279,57 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def segments(turns: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """``conv_id, segment, turn, role, text``; the segment is the turn number over ``size``."""
-    return turns.select(
+    """``conv_id, segment, part, turn, role, text``; the segment is the turn number over ``size``, the part
+    the row's place in it over ``size``."""
+    cut = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.floor(F.col("turn") / size), F.lit(0)).cast("long").alias("segment"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
+    none = F.lit(0).cast("long")
+    counts = cut.groupBy("conv_id", "segment").count().filter(F.col("count") > size)
+    hot = checkpointed(counts.select(F.col("conv_id").alias("of"), F.col("segment").alias("at"), "count"))
+    rows = hot.agg(F.sum("count")).first()[0]
+    if not rows:
+        return cut.withColumn("part", none)
+    same = cut.conv_id.eqNullSafe(F.col("of")) & (cut.segment == F.col("at"))
+    others = joined(cut, hot, same, "left_anti").withColumn("part", none)
+    # sorted in pieces of some 64 parts; rows are numbered within a piece and pieces by their counts
+    long = stored(joined(cut, hot.drop("count"), same, "left_semi").withColumn("nth", F.monotonically_increasing_id()))
+    order = [F.col("turn"), F.col("role"), F.substring("text", 1, 32), F.xxhash64("text"), F.col("nth")]
+    sorted_out = long.repartitionByRange(-(-rows // (64 * size)), "conv_id", "segment", *order)
+    long = stored(sorted_out.withColumn("piece", F.spark_partition_id()))
+    in_piece = Window.partitionBy("conv_id", "segment", "piece").orderBy(*[c.asc_nulls_first() for c in order])
+    earlier = Window.partitionBy("of", "at").orderBy("of_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        long.groupBy(F.col("conv_id").alias("of"), F.col("segment").alias("at"), F.col("piece").alias("of_piece"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    )
+    numbered = long.withColumn("place", F.row_number().over(in_piece) - 1)
+    same = numbered.conv_id.eqNullSafe(before.of) & (numbered.segment == before["at"]) & (numbered.piece == before.of_piece)
+    parts = joined(numbered, before, same, "inner").withColumn(
+        "part", F.floor((F.col("place") + F.col("before")) / size).cast("long")
+    )
+    return others.unionByName(parts.select(*others.columns))
 
 
 def transcripts(turns: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """``conv_id, segment, roles, transcript``: turns in order, a blank line between them."""
+    """``conv_id, segment, part, roles, transcript``: turns in order, a blank line between them."""
+    return transcripts_of(segments(turns, size))
+
+
+def transcripts_of(cut: DataFrame) -> DataFrame:
     gathered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     return (
-        segments(turns, size)
-        .groupBy("conv_id", "segment")
+        cut.groupBy("conv_id", "segment", "part")
         .agg(gathered.alias("t"))
         .select(
             "conv_id",
             "segment",
+            "part",
             F.transform("t", lambda x: F.coalesce(x.role, F.lit("unknown"))).alias("roles"),
             F.array_join(F.col("t.text"), "\n\n").alias("transcript"),
         )
@@ -303,9 +341,6 @@ def format_transcripts(df: DataFrame, model: Hmm, text_col: str = "transcript")
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    from .common import slices
-    from .common import without
-
     kept = without(df, ["found_roles", "n_lines", "rendered"])
     bordered = {"_before", "_last"} <= set(df.columns)
     schema = T.StructType(
@@ -344,7 +379,7 @@ def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
     several segments, null elsewhere."""
     import pyarrow as pa
 
-    from .common import slices
+    key = ["conv_id", "segment", "part"]
 
     def pass_through(batches):
         for batch in batches:
@@ -352,40 +387,41 @@ def with_borders(cut: DataFrame, model: Hmm) -> DataFrame:
                 found = [model.passage(observed(t)[1]) for t in part.column("transcript").to_pylist()]
                 flat = [None if m is None else m.ravel().tolist() for m in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), part.column("segment"), pa.array(flat, pa.list_(pa.float64()))],
-                    names=["conv_id", "segment", "m"],
+                    [*[part.column(c) for c in key], pa.array(flat, pa.list_(pa.float64()))],
+                    names=[*key, "m"],
                 )
 
     def decide(group: pa.Table) -> pa.Table:
-        group = group.sort_by("segment")
+        group = group.sort_by([("segment", "ascending"), ("part", "ascending")])
         flat = group.column("m").to_pylist()
         ends = borders([None if m is None else np.array(m).reshape(-1, len(STATES)) for m in flat])
-        columns = [group.column("conv_id"), group.column("segment")]
+        columns = [group.column(c) for c in key]
         columns += [pa.array([e[i] for e in ends], pa.int32()) for i in (0, 1)]
-        return pa.table(columns, names=["of", "at", "_before", "_last"])
+        return pa.table(columns, names=["of", "at", "at_part", "_before", "_last"])
 
     several = cut.groupBy("conv_id").count().filter("count > 1").select(F.col("conv_id").alias("several"))
     parts = cut.join(several, cut.conv_id.eqNullSafe(several.several), "left_semi")
     passed = in_arrow(
-        parts.select("conv_id", "segment", "transcript"), pass_through, "conv_id long, segment long, m array<double>"
+        parts.select(*key, "transcript"), pass_through, "conv_id long, segment long, part long, m array<double>"
     )
-    ends = passed.groupBy("conv_id").applyInArrow(decide, "of long, at long, _before int, _last int")
-    on = cut.conv_id.eqNullSafe(ends.of) & (cut.segment == ends["at"])
-    return cut.join(ends, on, "left").drop("of", "at")
+    schema = "of long, at long, at_part long, _before int, _last int"
+    ends = passed.groupBy("conv_id").applyInArrow(decide, schema)
+    on = cut.conv_id.eqNullSafe(ends.of) & (cut.segment == ends["at"]) & (cut.part == ends.at_part)
+    return cut.join(ends, on, "left").drop("of", "at", "at_part")
 
 
 def format_conversations(turns: DataFrame, model: Hmm | None = None) -> DataFrame:
-    """``conv_id, segment, n_turns, n_lines, found_turns, roles_agree, rendered`` of all conversations.
+    """``conv_id, segment, part, n_turns, n_lines, found_turns, roles_agree, rendered`` of all conversations.
 
     The roles of the table train the model and are not shown to Viterbi; ``roles_agree``
     says whether the roles found are the ones given.
     """
-    from .common import stored
-
-    model = model or fit(turns)
-    return format_transcripts(with_borders(stored(transcripts(turns)), model), model).select(
+    cut = segments(turns)
+    model = model or fit_segments(cut)
+    return format_transcripts(with_borders(stored(transcripts_of(cut)), model), model).select(
         "conv_id",
         "segment",
+        "part",
         F.size("roles").cast("long").alias("n_turns"),
         "n_lines",
         F.size("found_roles").cast("long").alias("found_turns"),

@@ -93,3 +93,82 @@ def test_segments_are_decoded_as_one_conversation(spark):
     got = {r.segment: r.rendered for r in chat.format_conversations(df, model).collect() if r.conv_id == 7}
     for (segment, text), e in zip(parts, ends, strict=True):
         assert got[segment] == chat.render(chat.parse(text, model, *e))
+
+
+def test_many_rows_of_one_turn_number_are_cut_into_parts(spark, monkeypatch):
+    """3,000 turns that share a null or equal turn number are parts of bounded size, decoded as one."""
+    rng = np.random.default_rng(5)
+    n = len(chat.STATES)
+    model = chat.Hmm(rng.normal(size=n), rng.normal(size=(n, n)), [rng.normal(size=(n, k)) * 0.3 for k in (4, 2, 6, 4)])
+    rows = [(1, None, ("user", "assistant", None)[i % 3], f"line {i % 700}." if i % 5 else "Why?") for i in range(3000)]
+    rows += [(2, 7, "user", "same")] * 2500 + [(3, i, "user", f"turn {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    parts = chat.transcripts(df, 300).collect()
+    assert max(len(r.roles) for r in parts) <= 300
+    assert sum(len(r.roles) for r in parts) == len(rows)
+    one = sorted((r.part, r.transcript) for r in parts if r.conv_id == 1)
+    assert [p for p, _ in one] == list(range(10))
+    roles = [x for r in sorted(parts, key=lambda r: r.part) if r.conv_id == 1 for x in r.roles]
+    assert roles == sorted(roles, key=lambda x: ["unknown", "assistant", "user"].index(x))
+    got = chat.with_borders(chat.transcripts(df, 300), model).collect()
+    seen = [chat.observed(t)[1] for _, t in one]
+    ends = {r.part: (r._before, r._last) for r in got if r.conv_id == 1}
+    joined = [x for i, s in enumerate(seen) for x in model.viterbi(s, *ends[i])]
+    whole = [x for s in seen for x in s]
+    emitted = model.emitted(whole)
+
+    def score(path):
+        moves = sum(model.move[a, b] for a, b in itertools.pairwise(path))
+        return model.start[path[0]] + moves + sum(emitted[t, x] for t, x in enumerate(path))
+
+    assert abs(score(joined) - score(model.viterbi(whole))) < 1e-6
+    out = chat.format_conversations(df)
+    assert out.select("n_turns").groupBy().max().first()[0] <= chat.SEGMENT
+    assert out.selectExpr("sum(n_turns)").first()[0] == len(rows)
+
+
+def slow_model(rows):
+    """Counts of :func:`chat.fit` one by one."""
+    start, move, emit = chat.prior_counts()
+    of = {}
+    for c, t, role, text in rows:
+        of.setdefault(c, []).append((t is not None, t or 0, role is not None, role or "", text or ""))
+    for turns in of.values():
+        before = None
+        for place, (_, _, _, role, text) in enumerate(sorted(turns)):
+            if role in chat.ROLES:
+                lines, seen = chat.observed(text)
+                states = [chat.STATES.index((role, i == 0)) for i in range(max(len(lines), 1))]
+                if place == 0:
+                    start[states[0]] += 1
+                elif before in chat.ROLES:
+                    for opens in (True, False):
+                        move[chat.STATES.index((before, opens)), states[0]] += 0.5
+                for a, b in itertools.pairwise(states):
+                    move[a, b] += 1
+                for state, codes in zip(states, seen, strict=False):
+                    for i, code in enumerate(codes):
+                        emit[i][state, code] += 1
+            before = role
+    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    return log(start), log(move), [log(e) for e in emit]
+
+
+def test_fit_counts_like_a_slow_version(spark):
+    rows = [*conversations(), (50, None, "user", "Hm?"), (50, None, None, "x\n\ny"), (50, 3, "assistant", None), (51, 1200, "user", "a\nb"), (51, 10, "system", "c")]
+    model = chat.fit(spark.createDataFrame(rows, SCHEMA))
+    start, move, emit = slow_model(rows)
+    assert np.allclose(model.start, start) and np.allclose(model.move, move)
+    assert all(np.allclose(a, b) for a, b in zip(model.emit, emit, strict=True))
+
+
+def test_render_is_plain():
+    assert chat.render([("user", "a\nb"), ("assistant", "")]) == "<|user|>\na\nb\n<|end|>\n<|assistant|>\n\n<|end|>\n"
+    assert chat.render([]) == ""
+
+
+def test_roles_of_conversations_that_the_model_has_not_seen(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = chat.fit(turns.filter("conv_id % 2 = 0"))
+    got = chat.format_conversations(turns.filter("conv_id % 2 = 1"), model).collect()
+    assert len(got) > 20 and sum(r.roles_agree for r in got) >= 0.9 * len(got)
