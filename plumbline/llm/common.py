@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of the word rules: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +93,31 @@ def joined(rows: DataFrame, small: DataFrame, on, how: str = "left", most: int =
     return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
+def occurrences(rows: DataFrame, which: list[str], name: str = "nth") -> DataFrame:
+    """The rows with ``name``: 1, 2, ... among those that are equal in the columns ``which``.
+
+    They are numbered within the task that read them, and from task to task by the counts of each, so that
+    many equal rows never meet in one task.
+    """
+    rows = stored(rows.withColumn("task_of", F.spark_partition_id()))
+    key = [F.col(c).alias(f"same_{i}") for i, c in enumerate(which)]
+    before = Window.partitionBy(*[f"same_{i}" for i in range(len(which))]).orderBy("task_at")
+    counts = (
+        rows.groupBy(*key, F.col("task_of").alias("task_at"))
+        .agg(F.count("*").alias("in_task"))
+        .withColumn("earlier", F.sum("in_task").over(before) - F.col("in_task"))
+    )
+    own = Window.partitionBy(*which, "task_of").orderBy(F.lit(1))
+    same = F.col("task_of") == F.col("task_at")
+    for i, c in enumerate(which):
+        same &= F.col(c).eqNullSafe(F.col(f"same_{i}"))
+    numbered = rows.withColumn("in_own", F.row_number().over(own))
+    return joined(numbered, counts, same, "inner").select(
+        *[F.col(f"`{c}`") for c in rows.columns if c != "task_of"],
+        (F.col("in_own") + F.col("earlier")).alias(name),
+    )
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drops input columns whose names an operator's own output columns take (case ignored)."""
     taken = {n.lower() for n in names}

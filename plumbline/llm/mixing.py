@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, joined, stored, without
+from .common import WORD, checkpointed, joined, occurrences, without
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -258,30 +258,6 @@ def mixing_plan(
     return base, state.select("edge_key", "cut"), checkpointed(there)
 
 
-def _nth(rows: DataFrame) -> DataFrame:
-    """The rows of places that are taken in part, each with ``nth``, its number among the equal ones.
-
-    They are numbered within the task that read them, and from task to task by the counts of each.
-    """
-    rows = stored(rows.withColumn("task", F.spark_partition_id()))
-    which = ["edge_key", "single"]
-    before = Window.partitionBy(*which).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*which, "task").agg(F.count("*").alias("in_task")).select(
-        F.col("edge_key").alias("e"),
-        F.col("single").alias("s"),
-        F.col("task").alias("t"),
-        F.coalesce(F.sum("in_task").over(before), F.lit(0)).alias("earlier"),
-    )
-    own = F.row_number().over(Window.partitionBy(*which, "task").orderBy("size"))
-    same = F.col("edge_key").eqNullSafe(F.col("e")) & (F.col("single") == F.col("s")) & (F.col("task") == F.col("t"))
-    return (
-        rows.withColumn("own", own)
-        .join(counts, same)
-        .withColumn("nth", F.col("own") + F.col("earlier"))
-        .drop("task", "own", "earlier", "e", "s", "t")
-    )
-
-
 def _decided(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """Rows with ``source_size, target, copies, taken``."""
     base, cuts, single = plan
@@ -292,7 +268,7 @@ def _decided(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame]) -> D
     partly = F.coalesce(F.col("wanted") < F.col("there"), F.lit(False))
     nth = F.lit(1).cast("long")
     if not single.filter(partly).isEmpty():
-        some = _nth(placed.filter(partly))
+        some = occurrences(placed.filter(partly), ["edge_key", "single"])
         placed = placed.filter(~partly).withColumn("nth", nth).unionByName(some)
         nth = F.col("nth")
     before = F.col("cut").isNull() | (F.col("place") < F.col("cut"))

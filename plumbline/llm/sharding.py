@@ -6,13 +6,14 @@ task, puts it into a fixed order, and applies Spark's ``shuffle``, a seeded Fish
 permutation. Buckets follow one another; the place of a record in that sequence gives its shard
 and slot, so shards are equal runs of a random permutation and a bucket lies in few shards.
 
-The number of buckets follows the bytes, so a task's memory doesn't grow with the table.
-Reruns over the same rows agree.
-
-Defined results: a null text has no bytes (its CRC-32 is 0); texts stay whole; null ids scatter
-by their text; rows that are equal in id and text are kept as often as they occur; an
-empty table gives an empty result; input columns named like an output column are replaced by
-it, all others are kept.
+The number of buckets follows the bytes, so a task's memory doesn't grow with the table. Rows that are
+equal in id and text have one hash; where they would overfill their bucket they are numbered and
+scattered by number. Reruns over the same rows agree, but rows equal in id and text may change places.
+
+Defined results: a null text has no bytes (its CRC-32 is 0); texts stay whole, and a text larger than a
+bucket has one almost to itself; null ids scatter by their text; rows that are equal in id and text are kept
+as often as they occur; an empty table gives an empty result; input columns named like an output
+column are replaced by it, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import without
+from .common import checkpointed, joined, occurrences, without
 
-#: Bytes of records that a bucket is meant to have, and bucket counts that may be broadcast.
-BUCKET_BYTES = 8 << 20
+#: Bytes of records that a bucket is meant to have, bucket counts that may be broadcast, and buckets that are
+#: summed up together before all are put in order.
+BUCKET_BYTES = 32 << 20
 BROADCAST_BUCKETS = 200_000
+TOGETHER = 4096
 ROW_BYTES = 16
 
 
@@ -42,6 +45,32 @@ def _has_map(kind: T.DataType) -> bool:
     return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
 
 
+def _scattered(df: DataFrame, buckets: int, seed: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
+    """``_bucket`` and ``_entry`` (a hash that orders the bucket, and the record) of every row."""
+    tagged = df.select(
+        F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.xxhash64(F.lit(seed + 1), id_col, text_col).alias("_at"),
+        record_size(text_col).alias("_bytes"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_record"),
+    )
+    full = checkpointed(
+        tagged.groupBy("_bucket").agg(F.sum("_bytes").alias("b")).filter(F.col("b") > 2 * bucket_bytes).select("_bucket")
+    )
+    if not full.isEmpty():
+        kinds = joined(tagged, full, "_bucket", "left_semi").groupBy("_bucket", "_at")
+        many = checkpointed(
+            kinds.agg(F.count("*").alias("n"), F.sum("_bytes").alias("b"))
+            .filter((F.col("n") > 1) & (F.col("b") > bucket_bytes // 2))
+            .select("_bucket", "_at")
+        )
+        if not many.isEmpty():
+            equal = occurrences(joined(tagged, many, ["_bucket", "_at"], "left_semi"), ["_bucket", "_at"], "_nth")
+            again = F.pmod(F.xxhash64(F.lit(seed + 2), "_at", "_nth"), F.lit(buckets)).cast("int")
+            spread = equal.withColumn("_bucket", again).drop("_nth")
+            tagged = joined(tagged, many, ["_bucket", "_at"], "left_anti").unionByName(spread)
+    return tagged.select("_bucket", F.struct(F.col("_at").alias("at"), F.col("_record").alias("record")).alias("_entry"))
+
+
 def shard_records(
     df: DataFrame,
     shards: int = 40,
@@ -54,25 +83,23 @@ def shard_records(
     df = without(df, ["size", "shard", "slot"])
     total, n = df.agg(F.sum(record_size(text_col)), F.count("*")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
-    tagged = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(buckets)).cast("int").alias("_bucket"),
-        F.struct(
-            F.xxhash64(F.lit(seed + 1), id_col, text_col).alias("at"),
-            F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"),
-        ).alias("_entry"),
+    tagged = _scattered(df, buckets, seed, id_col, text_col, bucket_bytes)
+    counts = checkpointed(
+        tagged.groupBy("_bucket").agg(F.count("*").alias("n")).withColumn("_set", F.floor(F.col("_bucket") / TOGETHER))
     )
-    offsets = (
-        tagged.groupBy("_bucket")
-        .agg(F.count("*").alias("n"))
-        .select(
-            "_bucket",
-            (F.sum("n").over(Window.orderBy("_bucket")) - F.col("n")).alias("_offset"),
-        )
+    in_set = Window.partitionBy("_set").orderBy("_bucket")
+    sets = counts.groupBy("_set").agg(F.sum("n").alias("in_set"))
+    sets = sets.select("_set", (F.sum("in_set").over(Window.orderBy("_set")) - F.col("in_set")).alias("_before"))
+    offsets = joined(counts, sets, "_set", "inner").select(
+        "_bucket", (F.col("_before") + F.sum("n").over(in_set) - F.col("n")).alias("_offset")
     )
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     gathered = F.collect_list("_entry")
-    if not _has_map(df.schema):
+    if _has_map(df.schema):  # maps have no order
+        at = lambda x, y: F.when(x.at < y.at, -1).when(x.at > y.at, 1).otherwise(0)
+        gathered = F.array_sort(gathered, at)
+    else:
         gathered = F.sort_array(gathered)
     permuted = (
         tagged.repartitionById(buckets, F.col("_bucket"))

@@ -129,3 +129,120 @@ def test_letters_are_counted_over_the_whole_text():
     for text in (head + tail, tail + head):
         share = sum(c.isalpha() for c in text) / len(text)
         assert abs(quality.shape(text)[14] - share) < 1e-12
+
+
+def test_toxicity_scores_are_those_of_a_slow_version(spark):
+    """Document frequencies, ratios, and scores from Python sets of n-grams; the fitted weights are the operator's."""
+    docs, labels = corpus(300, seed=4)
+    docs += [(900, None, "s", "en"), (901, "", "s", "en"), (902, "Scumbag " * 40_000, "s", "en"), (903, "dirtbag" * 9, None, None), (903, "dirtbag" * 9, None, None)]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit_toxicity(d, l)
+
+    def features(text):
+        data = (" " + (text or "") + " ").encode().translate(ngrams._FOLD)
+        found = set()
+        for size in ngrams.SIZES:
+            for i in range(len(data) - size + 1):
+                value = size
+                for byte in data[i : i + size]:
+                    value = value * 0x01000193 % 2**32 ^ byte
+                value = value * 0x9E3779B1 % 2**32
+                value = (value ^ value >> 15) * 0x85EBCA77 % 2**32
+                found.add(value >> 32 - ngrams.BITS)
+        return found
+
+    fitted = [(text, toxic) for (i, text, _, _), (_, _, toxic) in zip(docs, labels, strict=False) if zlib.crc32(str(i).encode()) % 5]
+    has = [(features(t), y) for t, y in fitted]
+    size = [sum(y == k for _, y in has) for k in (0, 1)]
+    weight = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    assert len(weight) > 20
+    counts = {}
+    for f, y in has:
+        for place in f:
+            counts.setdefault(place, [0, 0])[y] += 1
+    strong = {}
+    for place, n in counts.items():
+        mean = sum(n) / len(has)
+        spread = np.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]))
+        if sum(n) >= 3 and (z := abs(n[1] / size[1] - n[0] / size[0]) / max(spread, 1e-12)) > 2:
+            strong[place] = z
+    assert len(strong) <= ngrams.FEATURES and set(strong) == set(weight)
+    ratio = {k: np.log((counts[k][1] + 0.5) / (size[1] + 1) / ((counts[k][0] + 0.5) / (size[0] + 1))) for k in strong}
+    alike = [weight[k] * ratio[k] >= 0 for k in strong if strong[k] > 6]
+    assert len(alike) > 10 and np.mean(alike) > 0.95  # weights are scaled by the ratios
+    want = {}
+    for i, text, _, _ in docs:
+        if i != 902:
+            want[i] = 1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0.0) for f in features(text)))))
+    want[902] = 1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0.0) for f in features("Scumbag Scumbag ")))))
+    got = toxicity.toxicity_digest(d, l).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == int(want[r.doc_id] >= 0.5)
+
+
+def test_windows_of_ngrams_change_nothing(monkeypatch):
+    texts = [b"abc" * 70, b"", b"x y z" * 41, b"q"]
+    offsets = np.cumsum([0, *map(len, texts)]).tolist()
+    whole = ngrams.grams(b"".join(texts), offsets)
+    monkeypatch.setattr(ngrams, "WINDOW", 7)
+    cut = ngrams.grams(b"".join(texts), offsets)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+def test_quality_columns_are_those_of_the_formulas(spark):
+    docs, labels = corpus(200, seed=2)
+    docs += [(500, None, None, None), (501, "a few words of a text", None, "en"), (501, "a few words of a text", None, "en"), (502, "word " * 60_000, "s1", None), (None, "no id at all here", "s1", "de")]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    got = quality.judge(d, l).collect()
+    assert len(got) == len(docs)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.source, {}).setdefault(r.lang, []).append(r.evidence)
+    p = np.array([r.evidence for r in got])
+    hosts = {h: np.concatenate(list(g.values())) for h, g in groups.items()}
+    paths = [np.array(v) for g in groups.values() for v in g.values()]
+    n, mean = len(p), p.mean()
+    within = max(sum(((v - v.mean()) ** 2).sum() for v in paths) / (n - len(paths)), 1e-9)
+    of_hosts = sum(len(v) * v.mean() ** 2 for v in hosts.values())
+    of_paths = sum(len(v) * v.mean() ** 2 for v in paths)
+
+    def worth(between, sites, spread):
+        return min(within / max(max(between - sites * within, 0) / max(spread, 1e-9), 1e-12), 1e9)
+
+    to_all = worth(of_hosts - n * mean**2, len(hosts) - 1, n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    nested = sum(len(np.array(v)) ** 2 / len(hosts[h]) for h, g in groups.items() for v in g.values())
+    to_host = worth(of_paths - of_hosts, len(paths) - len(hosts), n - nested)
+    odds = lambda x: np.log(x / (1 - x))
+    held = lambda x: min(max(x, quality.LOWEST), 1 - quality.LOWEST)
+    for r in got:
+        own, all_host, path = r.evidence, hosts[r.source], groups[r.source][r.lang]
+        host = (all_host.sum() - own + to_all * mean) / (len(all_host) - 1 + to_all)
+        site = (sum(path) - own + to_host * host) / (len(path) - 1 + to_host)
+        score = 1 / (1 + np.exp(-(odds(held(own)) + odds(held(site)) - odds(held(mean)))))
+        if own <= quality.LOWEST:
+            score = min(score, quality.LOWEST)
+        assert (r.host_mean, r.site_mean, r.quality_score) == pytest.approx((held(host), held(site), score), rel=1e-6)
+        assert r.keep == (r.quality_score >= 0.5)
+
+
+def test_quality_keeps_columns_whatever_their_names(spark):
+    docs, labels = corpus(60)
+    names = ["n", "s", "host_n", "host_s", "to_all", "to_host", "_host", "_path", "host", "path", "site_host", "of", "kept_0"]
+    d = spark.createDataFrame(docs, DOCS).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names], "NULL AS nothing")
+    out = quality.judge(d, spark.createDataFrame(labels, LABELS))
+    assert out.columns == [*d.columns, *quality.OUT]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
+def test_samples_take_whole_long_texts_and_are_bounded(spark):
+    from plumbline.llm.labels import labelled_sample
+
+    rows = [(i, "word " * (20_000 if i % 2 else 3), "s", "en") for i in range(40)]
+    d = spark.createDataFrame(rows, DOCS)
+    l = spark.createDataFrame([(i, i % 4 // 2, 0) for i in range(60)], LABELS)  # ids from 40 on have no text
+    texts, marks, share = labelled_sample(d, l, "quality", each=15)
+    assert len(texts) == 30 and sum(marks) == 15 and share == 0.5
+    assert {len(t) for t in texts} == {15, 100_000}
+    few, _, _ = labelled_sample(d, l, "quality", each=15, most_bytes=250_000)
+    assert 2 <= len(few) < 30 and sum(map(len, few)) <= 500_000

@@ -188,3 +188,18 @@ def test_probes_are_set_on_rows_held_out_from_the_fit(spark, monkeypatch):
     rows = lambda x: {r.tobytes() for r in x}
     assert len(seen["fit"]) == 300 and len(seen["probe"]) == 100
     assert not rows(seen["fit"]) & rows(seen["probe"])
+
+
+def test_recall_on_the_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        best, _ = brute(x, i)
+        hits += len({int(ids[j]) for j in best} & got[int(ids[i])])
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()

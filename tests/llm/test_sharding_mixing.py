@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -62,6 +63,64 @@ def test_shard_edges(spark):
     assert sharding.shard_records(clash).columns.count("shard") == 1
 
 
+class Twister:
+    """The generator behind Spark's ``shuffle``: Mersenne twister seeded with the two halves of a long."""
+
+    def __init__(self, seed: int):
+        low, high = seed & 0xFFFFFFFF, seed >> 32 & 0xFFFFFFFF
+        self.rng = random.Random(high | low << 32)
+
+    def below(self, n: int) -> int:
+        while True:
+            bits = self.rng.getrandbits(32) >> 1
+            if n & (n - 1) == 0:
+                return n * bits >> 31
+            if bits - bits % n + (n - 1) < 1 << 31:
+                return bits % n
+
+
+def test_buckets_are_permuted_like_a_replay(spark):
+    rows = [(i, f"text {i} " * (i % 9), "en", f"s{i % 3}", i) for i in range(400)]
+    seed, shards, size = 77, 7, 1500
+    df = docs(spark, rows)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_records(df, shards, seed=seed, bucket_bytes=size).collect()}
+    buckets = -(-sum(len(r[1].encode()) + 16 for r in rows) // size)
+    hashed = df.selectExpr("doc_id", f"pmod(xxhash64({seed}, doc_id, text), {buckets}) AS b", f"xxhash64({seed + 1}, doc_id, text) AS at")
+    members = defaultdict(list)
+    for r in hashed.collect():
+        members[r.b].append((r.at, r.doc_id))
+    order = []
+    for b in sorted(members):
+        entries, twister = sorted(members[b]), Twister(seed + b)  # a bucket is a partition, whose number is added
+        index = [0] * len(entries)
+        for i in range(len(entries)):  # Fisher-Yates, inside out
+            j = twister.below(i + 1)
+            index[i] = index[j]
+            index[j] = i
+        order += [entries[i][1] for i in index]
+    low, longer = divmod(len(rows), shards)
+    want, place = {}, 0
+    for shard in range(shards):
+        for slot in range(low + (shard < longer)):
+            want[order[place]] = (shard, slot)
+            place += 1
+    assert got == want
+
+
+def test_equal_rows_and_maps_do_not_fill_one_bucket(spark):
+    rows = [(None, "the same text again", "en", "s", 1)] * 3000 + [(i, f"other {i}", "en", "s", i) for i in range(300)]
+    df = docs(spark, rows).repartition(6).selectExpr("*", "map('a', doc_id) AS m", "'b' AS _bucket", "'c' AS _entry", "'d' AS _nth", "'e' AS _at")
+    tagged = sharding._scattered(df, 100, 1, "doc_id", "text", 1100)
+    assert max(r["count"] for r in tagged.groupBy("_bucket").count().collect()) < 100
+    got = sharding.shard_records(df, 10, bucket_bytes=1100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert all(r._bucket == "b" and r._entry == "c" and r._nth == "d" and r.m == {"a": r.doc_id} for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(330)) for s in slots.values()) and len(slots) == 10
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     for df in (sharding.shard_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")), mixing.mix_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
