@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, geometry, lineage_rules, referencing  # noqa: F401
+from .plans import evaluation, formats, geometry, lineage_rules, referencing  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

@@ -44,3 +44,16 @@ def float32_safe(*columns: Column, limit: float = 5000.0) -> Column:
     for c in columns:
         ok = ok & (F.abs(c) <= limit)
     return ok
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; on one machine (master
+    ``local``) a temporary one if none is set, on a cluster none is guessed."""
+    import re
+    import tempfile
+
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ContractError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="plumbline-")).rstrip("/")

@@ -20,33 +20,58 @@ def decide(df: DataFrame, checks: Sequence[tuple[Column, str]]) -> DataFrame:
 
 
 def judge(manifests: DataFrame) -> DataFrame:
-    """``protocols, claims, refusals`` of dataset manifests.
+    """``protocols, claims, refused`` (lists as text) of dataset manifests.
 
-    Columns: has_split, test_groups, holdout_length, init_source, init_in_holdout, registered,
-    registration_overlap. Protocol A (novel views) needs test groups; protocol B (held-out geometry)
-    needs a holdout, nothing of the initial cloud in it, and a registration that doesn't rest on it.
+    Columns: scale_basis, source, registration struct<id, inlier_ratio, rmse, claim_allowed, support>,
+    test_groups, init_groups (arrays of names), holdout, excluded and support (arrays of struct<lo, hi>),
+    points_excluded.
+
+    Metric claims need a scale and, of video, a registration with a record, usable figures and its own
+    permission. Novel views are judged if test groups are named and none of them is in the initial cloud.
+    Geometry and volume are claims on held-out ranges whose points are excluded, each inside one range
+    declared as excluded, and which the registration doesn't rest on; support that was never recorded
+    counts as everywhere. What is neither is a reconstruction; diagnostics are always allowed.
     """
-    a = refusals(
-        [(~F.col("has_split"), "no split"), (F.col("test_groups") <= 0, "no test groups")]
-    )
-    b = refusals(
-        [
-            (F.col("holdout_length") <= 0, "no holdout"),
-            (F.col("init_in_holdout"), "initial cloud reaches into the holdout"),
-            (~F.col("registered"), "not registered"),
-            (F.col("registration_overlap"), "registered on the holdout"),
-        ]
-    )
-    ok_a, ok_b = F.size(a) == 0, F.size(b) == 0
+    have = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    reg = F.col("registration")
+    video = F.col("source").isin("video", "video360")
+    poor = (reg["inlier_ratio"] <= 0) | (reg["rmse"] <= 0)
+    usable = video & reg.isNotNull() & ~F.coalesce(poor, F.lit(True))
+    metric = [
+        (F.col("scale_basis").isNull(), "no scale"),
+        (video & reg.isNull(), "video without registration"),
+        (video & reg.isNotNull() & ~usable, "registration without usable figures"),
+        (usable & reg["id"].isNull(), "registration without a record"),
+        (usable & ~F.coalesce(reg["claim_allowed"], F.lit(False)), "registration permits no claim"),
+    ]
+    leaks = F.coalesce(F.arrays_overlap("test_groups", "init_groups"), F.lit(False))
+    views = [(have("test_groups") & leaks, "test groups in the initial cloud")]
+    held = have("holdout")
+    inside = lambda r: F.exists("excluded", lambda e: (e.lo <= r.lo) & (e.hi >= r.hi))
+    declared = F.coalesce(F.forall("holdout", inside), F.lit(False))
+    shared = lambda r: F.exists(reg["support"], lambda s: F.least(s.hi, r.hi) > F.greatest(s.lo, r.lo))
+    rests = F.when(reg["support"].isNull(), reg["id"].isNotNull()).otherwise(F.exists("holdout", shared))
+    ranges = [
+        (held & ~F.coalesce("points_excluded", F.lit(False)), "points of the holdout not excluded"),
+        (held & ~declared, "holdout not declared as excluded"),
+        (held & reg.isNotNull() & F.coalesce(rests, F.lit(False)), "registered on the holdout"),
+    ]
+    found = {name: refusals(checks) for name, checks in (("metric", metric), ("views", views), ("ranges", ranges))}
+    novel = have("test_groups") & (F.size(found["views"]) == 0)
+    geometry = held & (F.size(found["metric"]) == 0) & (F.size(found["ranges"]) == 0)
+    listed = lambda *items: F.concat_ws(",", *[F.when(c, F.lit(t)) for c, t in items])
     return manifests.select(
         "*",
-        F.array_join(F.array_compact(F.array(F.when(ok_a, F.lit("A")), F.when(ok_b, F.lit("B")))), "").alias("protocols"),
-        F.when(ok_b & (F.col("init_source") == "images"), "metric_image_only")
-        .when(ok_b, "metric")
-        .when(ok_a, "novel_view")
-        .otherwise("diagnostic")
-        .alias("claim"),
-        F.array_join(F.concat(a, b), "; ").alias("refused"),
+        listed(
+            (novel, "novel_view"), (geometry, "geometry_holdout"), (~novel & ~geometry, "reconstruction")
+        ).alias("protocols"),
+        listed(
+            (F.lit(True), "geometry_diagnostic"),
+            (novel, "render_quality"),
+            (geometry, "geometry_accuracy"),
+            (geometry, "volume_accuracy"),
+        ).alias("claims"),
+        F.array_join(F.concat(*found.values()), "; ").alias("refused"),
     )
 
 

@@ -36,11 +36,29 @@ def coverage(series: DataFrame, ranges: DataFrame, keys: Sequence[str], s: str,
     )
 
 
-def against_design(walls: DataFrame, keys: Sequence[str], radius: str, design: Column, bins: int) -> DataFrame:
-    """``over, under`` area of each station from radii over and under the design."""
-    part = 0.5 * (F.col(radius) ** 2 - design**2) * (2 * math.pi / bins)
-    return walls.groupBy(*keys).agg(
-        F.sum(F.greatest(part, F.lit(0.0))).alias("over"), F.sum(F.greatest(-part, F.lit(0.0))).alias("under")
+def against_design(series: DataFrame, keys: Sequence[str], design: Column, bins: int) -> DataFrame:
+    """``chainage, area, over, under`` of every station of :func:`.sections.sections`: areas of the sectors
+    over and under the design radius, with gaps in the wall filled around the circle; NULL where the section is
+    not valid. ``design`` may use the column ``bin``."""
+    part = 0.5 * (F.col("filled") ** 2 - design**2) * (2 * math.pi / bins)
+    station = [*keys, "station_idx"]
+    long = series.filter(F.col("valid") & F.col("area").isNotNull()).select(*station, F.posexplode("radii").alias("bin", "radius"))
+    by_station = (
+        runs.circular_fill(long, station, "bin", "radius", bins)
+        .groupBy(*station)
+        .agg(F.sum(F.greatest(part, F.lit(0.0))).alias("over"), F.sum(F.greatest(-part, F.lit(0.0))).alias("under"))
+    )
+    grid = series.select(*station, "chainage", F.when(F.col("valid"), F.col("area")).alias("area"))
+    return grid.join(by_station, station, "left")
+
+
+def design_volumes(compared: DataFrame, keys: Sequence[str], interval: float) -> DataFrame:
+    """``over_m3, under_m3, covered, segments`` of each key: both integrated on the runs of the area, never
+    over a station without one."""
+    over = runs.integrate(compared, keys, "chainage", "over", interval)
+    under = runs.integrate(compared, keys, "chainage", "under", interval)
+    return over.select(*keys, F.col("volume").alias("over_m3"), "covered", "segments").join(
+        under.select(*keys, F.col("volume").alias("under_m3")), list(keys)
     )
 
 

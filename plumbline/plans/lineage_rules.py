@@ -106,28 +106,54 @@ def frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT s_suppkey AS id, s_suppkey % 9 <> 0 AS hs, s_suppkey % 4 AS tg, (s_suppkey % 5)::DOUBLE AS hl, CASE WHEN s_suppkey % 3 = 0 THEN 'images' ELSE 'tls' END AS src,
- s_suppkey % 11 = 0 AS ih, s_suppkey % 7 <> 0 AS reg, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_suppkey % 6 = 0 END AS ro FROM supplier),
-c AS (SELECT *, concat_ws('; ', CASE WHEN NOT hs THEN 'no split' END, CASE WHEN tg <= 0 THEN 'no test groups' END) AS ra,
- concat_ws('; ', CASE WHEN hl <= 0 THEN 'no holdout' END, CASE WHEN ih THEN 'initial cloud reaches into the holdout' END, CASE WHEN NOT reg THEN 'not registered' END,
-   CASE WHEN coalesce(ro, true) THEN 'registered on the holdout' END) AS rb FROM b)
-SELECT id, (CASE WHEN ra = '' THEN 'A' ELSE '' END) || (CASE WHEN rb = '' THEN 'B' ELSE '' END) AS protocols,
- CASE WHEN rb = '' AND src = 'images' THEN 'metric_image_only' WHEN rb = '' THEN 'metric' WHEN ra = '' THEN 'novel_view' ELSE 'diagnostic' END AS claim,
- concat_ws('; ', nullif(ra, ''), nullif(rb, '')) AS refused FROM c"""
+    """WITH m AS (
+  SELECT s_suppkey AS id, s_suppkey AS k, CASE WHEN s_suppkey % 9 <> 0 THEN 'surveyed' END AS scale_basis,
+         CASE s_suppkey % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'e57' ELSE 'video360' END AS source,
+         s_suppkey % 5 <> 0 AS has_reg, CASE WHEN s_suppkey % 7 <> 0 THEN 'r' || s_suppkey END AS reg_id,
+         CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE 0.9 END AS inlier, s_suppkey % 13 <> 0 AS allowed,
+         CASE WHEN s_suppkey % 4 = 0 THEN 'none' WHEN s_suppkey % 4 = 1 THEN 'clear' ELSE 'over' END AS support,
+         s_suppkey % 4 > 1 AS tests, s_suppkey % 8 = 7 AS leak, s_suppkey % 6 <> 5 AS held, s_suppkey % 10 <> 3 AS gone, s_suppkey % 17 <> 2 AS declared
+  FROM supplier
+), v AS (
+  SELECT *, source LIKE 'video%' AS video, source LIKE 'video%' AND has_reg AND inlier > 0 AS usable,
+         has_reg AND CASE support WHEN 'none' THEN reg_id IS NOT NULL WHEN 'clear' THEN false ELSE true END AS rests FROM m
+), r AS (
+  SELECT *, concat_ws('; ', CASE WHEN scale_basis IS NULL THEN 'no scale' END, CASE WHEN video AND NOT has_reg THEN 'video without registration' END,
+      CASE WHEN video AND has_reg AND NOT usable THEN 'registration without usable figures' END,
+      CASE WHEN usable AND reg_id IS NULL THEN 'registration without a record' END, CASE WHEN usable AND NOT allowed THEN 'registration permits no claim' END) AS metric,
+    CASE WHEN tests AND leak THEN 'test groups in the initial cloud' ELSE '' END AS views,
+    concat_ws('; ', CASE WHEN held AND NOT gone THEN 'points of the holdout not excluded' END, CASE WHEN held AND NOT declared THEN 'holdout not declared as excluded' END,
+      CASE WHEN held AND rests THEN 'registered on the holdout' END) AS ranges FROM v
+), d AS (SELECT *, tests AND views = '' AS novel, held AND metric = '' AND ranges = '' AS geometry FROM r)
+SELECT id, concat_ws(',', CASE WHEN novel THEN 'novel_view' END, CASE WHEN geometry THEN 'geometry_holdout' END, CASE WHEN NOT novel AND NOT geometry THEN 'reconstruction' END) AS protocols,
+  concat_ws(',', 'geometry_diagnostic', CASE WHEN novel THEN 'render_quality' END, CASE WHEN geometry THEN 'geometry_accuracy,volume_accuracy' END) AS claims,
+  concat_ws('; ', nullif(metric, ''), nullif(views, ''), nullif(ranges, '')) AS refused FROM d"""
 )
 def protocol_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of scanner and video surveys: scale, registration, leaks, holdout and its support."""
     k = F.col("s_suppkey")
+    span = lambda lo, hi: F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    support = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.array(span(0.0, 40.0))).otherwise(F.array(span(0.0, 41.0)))
+    registration = F.struct(
+        F.when(k % 7 != 0, F.concat(F.lit("r"), k)).alias("id"),
+        F.when(k % 11 == 0, 0.0).otherwise(0.9).alias("inlier_ratio"),
+        F.lit(0.01).alias("rmse"),
+        (k % 13 != 0).alias("claim_allowed"),
+        support.alias("support"),
+    )
+    none = F.array().cast("array<struct<lo:double,hi:double>>")
     rows = data.table(spark, sf_dir, "supplier").select(
         k.alias("id"),
-        (k % 9 != 0).alias("has_split"),
-        (k % 4).alias("test_groups"),
-        (k % 5).cast("double").alias("holdout_length"),
-        F.when(k % 3 == 0, "images").otherwise("tls").alias("init_source"),
-        (k % 11 == 0).alias("init_in_holdout"),
-        (k % 7 != 0).alias("registered"),
-        F.when(k % 13 != 0, k % 6 == 0).alias("registration_overlap"),
+        F.when(k % 9 != 0, "surveyed").alias("scale_basis"),
+        F.when(k % 3 == 0, "video").when(k % 3 == 1, "e57").otherwise("video360").alias("source"),
+        F.when(k % 5 != 0, registration).alias("registration"),
+        F.when(k % 4 > 1, F.array(F.lit("g1"), F.lit("g2"))).otherwise(F.array().cast("array<string>")).alias("test_groups"),
+        F.when(k % 8 == 7, F.array(F.lit("g2"), F.lit("g3"))).otherwise(F.array(F.lit("g3"))).alias("init_groups"),
+        F.when(k % 6 != 5, F.array(span(40.0, 46.0), span(90.0, 95.0))).otherwise(none).alias("holdout"),
+        (k % 10 != 3).alias("points_excluded"),
+        F.when(k % 17 != 2, F.array(span(39.5, 46.5), span(90.0, 95.0))).otherwise(F.array(span(39.5, 46.5), span(90.0, 94.0))).alias("excluded"),
     )
-    return rules.judge(rows).select("id", "protocols", "claim", "refused")
+    return rules.judge(rows).select("id", "protocols", "claims", "refused")
 
 
 @query(

@@ -146,14 +146,45 @@ def wall_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.circular_fill(whole, ["station_idx"], "bin", "radius", 72).select("station_idx", "bin", r6("filled"))
 
 
-@query(
+_DESIGN = (
     _WALL
-    + """ SELECT station_idx, round(sum(greatest(0.5 * (radius ** 2 - 2.4 ** 2) * (2 * pi() / 72), 0)), 6) AS over,
-   round(sum(greatest(-0.5 * (radius ** 2 - 2.4 ** 2) * (2 * pi() / 72), 0)), 6) AS under FROM wall GROUP BY 1"""
+    + _GRID
+    + """,
+st AS (SELECT station_idx, max(n_points) >= 20 AND count(*) FILTER (radius IS NULL) <= 7 AS valid FROM full_ GROUP BY 1),
+ring AS (SELECT a.station_idx, 0.5 * sin(2 * pi() / 72) * sum(a.r * b.r) AS area FROM filled a JOIN filled b
+   ON a.station_idx = b.station_idx AND b.bin = (a.bin + 1) % 72 GROUP BY 1),
+sector AS (SELECT station_idx, 0.5 * (r ** 2 - (2.45 + 0.002 * (bin % 36)) ** 2) * 2 * pi() / 72 AS d FROM filled),
+cmp AS (SELECT st.station_idx, 'tunnel' AS key, st.station_idx * 2::DOUBLE AS s, CASE WHEN valid THEN any_value(area) END AS area,
+   CASE WHEN valid THEN sum(greatest(d, 0)) END AS over_, CASE WHEN valid THEN sum(greatest(-d, 0)) END AS under_
+   FROM st LEFT JOIN ring USING (station_idx) LEFT JOIN sector USING (station_idx) GROUP BY st.station_idx, valid)"""
 )
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tunnel against a design whose radius differs from bin to bin."""
+    cut = sections.sections(data.tunnel(spark, sf_dir), [], 0.0, 120.0, 2.0, 1.0, 72)
+    design = 2.45 + 0.002 * (F.col("bin") % 36)
+    return volume.against_design(cut, [], design, 72).withColumn("key", F.lit("tunnel"))
+
+
+@query(_DESIGN + " SELECT station_idx, s AS chainage, round(area, 6) AS area, round(over_, 6) AS over, round(under_, 6) AS under FROM cmp")
 def design_overbreak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sections.wall(data.tunnel(spark, sf_dir), [], 0.0, 120.0, 2.0, 1.0, 72)
-    return volume.against_design(rows, ["station_idx"], "radius", F.lit(2.4), 72).select("station_idx", r6("over"), r6("under"))
+    """Over- and underbreak of filled sections; invalid stations are NULL."""
+    return _compared(spark, sf_dir).select("station_idx", "chainage", r6("area"), r6("over"), r6("under"))
+
+
+@query(
+    _DESIGN
+    + """, brk AS (SELECT *, CASE WHEN over_ IS NULL OR lag(over_) OVER w IS NULL OR s - lag(s) OVER w > 2 + 1e-9 THEN 1 ELSE 0 END AS b FROM cmp WINDOW w AS (ORDER BY s)),
+run AS (SELECT *, sum(b) OVER (ORDER BY s) AS run FROM brk),
+trap AS (SELECT *, (over_ + lag(over_) OVER w) / 2 * (s - lag(s) OVER w) AS o, (under_ + lag(under_) OVER w) / 2 * (s - lag(s) OVER w) AS u
+  FROM run WHERE over_ IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY s)),
+seg AS (SELECT run, sum(o) AS o, sum(u) AS u, max(s) - min(s) AS len FROM trap GROUP BY 1 HAVING count(*) >= 2)
+SELECT 'tunnel' AS key, round(sum(o), 6) AS over_m3, round(sum(u), 6) AS under_m3, coalesce(sum(len), 0) AS covered, count(*) AS segments FROM seg"""
+)
+def design_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = volume.design_volumes(_compared(spark, sf_dir), ["key"], 2.0)
+    return out.select("key", r6("over_m3"), r6("under_m3"), "covered", "segments")
 
 
 @query(f"WITH {data.series_sql('o_orderpriority')}, {data.runs_sql('series', 'area')} SELECT key, lo, hi, stations, round(mean, 10) AS mean, round(integral, 7) AS integral FROM segments")

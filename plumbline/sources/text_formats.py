@@ -69,30 +69,48 @@ def read_targets_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-#: Names that mapping files use (fixed values).
-IMAGE_ALIASES = ("image_id", "image", "image_name", "image_guid", "filename", "file")
-TARGET_ALIASES = ("scan_id", "scan", "station_id", "station", "scan_guid", "guid")
+#: Names by which mapping files refer to images and to their targets (fixed values).
+IMAGE_COLUMNS = ("image_id", "image_name", "image_guid")
+TARGET_COLUMNS = ("scan_id", "scan_guid", "station_id")
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``origin, image_ref, image_ref_kind, target_kind, target_value`` of a mapping CSV or JSON-lines file.
+def read_mapping(spark: SparkSession, path: str, evidence_type: str = "explicit_mapping") -> DataFrame:
+    """``origin, image_ref, image_ref_kind, target_kind, target_value, evidence_type`` of a mapping CSV or
+    JSON-lines file.
 
-    Exactly one column must name the image and one the target; rows with either empty are left out.
+    Every row must name exactly one image and one target; a file with another row, or without rows, is refused.
+    ``origin`` is ``file:line n`` (the header is line 1) or ``file:record n``.
     """
-    raw = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.csv(path, header=True, comment="#")
-    images = [c for c in raw.columns if c.lower() in IMAGE_ALIASES]
-    targets = [c for c in raw.columns if c.lower() in TARGET_ALIASES]
-    if len(images) != 1 or len(targets) != 1:
-        raise ContractError(f"one image and one target column are needed: {raw.columns}")
-    image, target = images[0], targets[0]
-    rows = raw.select(
-        F.concat(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("#"), F.monotonically_increasing_id().cast("string")).alias("origin"),
-        F.trim(F.col(image).cast("string")).alias("image_ref"),
-        F.lit(image.lower()).alias("image_ref_kind"),
-        F.lit(target.lower()).alias("target_kind"),
-        F.trim(F.col(target).cast("string")).alias("target_value"),
+    is_json = path.endswith((".json", ".jsonl"))
+    raw = spark.read.json(path) if is_json else spark.read.csv(path, header=True)
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at")) + F.lit(0 if is_json else 1)
+
+    def named(columns):
+        there = [c for c in columns if c in raw.columns]
+        pairs = [F.struct(F.lit(c).alias("kind"), F.trim(F.col(c).cast("string")).alias("value")) for c in there]
+        none = F.array().cast("array<struct<kind:string,value:string>>")
+        return F.filter(F.array(*pairs), lambda p: F.length(p.value) > 0) if pairs else none
+
+    rows = (
+        raw.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        .withColumn("at", F.monotonically_increasing_id())
+        .select("file", place.alias("n"), named(IMAGE_COLUMNS).alias("image"), named(TARGET_COLUMNS).alias("target"))
+        .withColumn("origin", F.concat("file", F.lit(":record " if is_json else ":line "), "n"))
+    )
+    bad = rows.filter((F.size("image") != 1) | (F.size("target") != 1)).orderBy("origin").first()
+    if bad is not None:
+        raise ContractError(f"{bad.origin}: a row must name exactly one image and one target")
+    if rows.isEmpty():
+        raise ContractError(f"{path}: no rows")
+    image, target = F.col("image")[0], F.col("target")[0]
+    return rows.select(
+        "origin",
+        image["value"].alias("image_ref"),
+        image["kind"].alias("image_ref_kind"),
+        target["kind"].alias("target_kind"),
+        target["value"].alias("target_value"),
+        F.lit(evidence_type).alias("evidence_type"),
     )
-    return rows.filter((F.length("image_ref") > 0) & (F.length("target_value") > 0))
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

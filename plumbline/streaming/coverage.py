@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..contracts import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files."""
@@ -87,12 +88,11 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a query over all that its source has now and returns its result table."""
     spark = stream.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     query = (
         stream.writeStream.outputMode(mode)
         .format("memory")
         .queryName(name)
-        .option("checkpointLocation", f"{folder.rstrip('/')}/{name}")
+        .option("checkpointLocation", f"{shared_folder(spark)}/{name}")
         .trigger(availableNow=True)
         .start()
     )

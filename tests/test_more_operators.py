@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.contracts import float32_safe
+from plumbline.contracts import ContractError, float32_safe
 from plumbline.operators import axis, lineage, points, raster
 from plumbline.sources import binary_formats, text_formats
 from plumbline.streaming import coverage
@@ -47,8 +47,8 @@ def test_clouds_unite_on_common_columns(spark):
 
 def test_colours_masks_and_covariances(spark):
     one = spark.range(1)
-    ramp = [tuple(one.select(*raster.turbo_like(F.lit(t))).first()) for t in (0.0, 0.5, 1.0)]
-    assert ramp == [(0, 0, 255), (0, 255, 0), (255, 0, 0)]
+    ramp = [tuple(one.select(*raster.turbo_like(F.lit(t))).first()) for t in (0.0, 0.25, 0.5, 0.7, 1.0)]
+    assert ramp == [(0, 0, 127), (0, 127, 255), (127, 255, 127), (255, 178, 0), (127, 0, 0)]
     assert one.select(raster.box_mask(F.lit(5.0), F.lit(5.0), [(0, 0, 10, 10)]).alias("m")).first().m is False
     cov = one.select(*[c.alias(f"c{i}") for i, c in enumerate(raster.covariance(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 0.0, 0.5, 1.0)]))]).first()
     assert list(cov) == pytest.approx([1.0, 0, 0, 2.718281828, 0, 7.389056099])
@@ -95,3 +95,51 @@ def test_latest_state_and_rollup(spark):
     assert {r.k: r.state for r in lineage.latest_state(df, ["k"], "state", "at", "id").collect()} == {"a": "done", "b": "run"}
     none = lineage.rollup(df.withColumn("sec", F.lit(None).cast("double")), ["k"], "sec").collect()
     assert all(r.seconds is None and r.measured == 0 for r in none)
+
+
+def test_cameras_are_normalised(spark):
+    import numpy as np
+
+    from plumbline.operators import cameras, transforms
+
+    rng = np.random.default_rng(8)
+    rows, looks = [], []
+    for i in range(31):  # cameras about (5, 2, -3) that look at it, all upright but for a little noise
+        turn = transforms.axis_rotation("y", float(rng.uniform(0, 360))) @ transforms.axis_rotation("x", float(rng.normal() * 4))
+        r = transforms.axis_rotation("z", 20.0) @ turn
+        t = np.array([5.0, 2.0, -3.0]) - 7 * r[:, 2] + rng.normal(size=3) * 0.05
+        looks.append((r, t))
+        rows.append((*r.ravel().tolist(), *t.tolist()))
+    names = [f"r{i}{j} double" for i in range(3) for j in range(3)] + ["tx double", "ty double", "tz double"]
+    df = spark.createDataFrame(rows, ", ".join(names))
+    for centre, strict in (("focus", False), ("poses", True)):
+        found = cameras.normalising(df, strict, centre)
+        ups = np.mean([-found.r @ r[:, 1] for r, _ in looks], axis=0)
+        assert ups / np.linalg.norm(ups) == pytest.approx([0, -1, 0], abs=1e-9)
+        places = np.array([found.scale * found.r @ t + found.t for _, t in looks])
+        distance = np.linalg.norm(places, axis=1)
+        assert (distance.max() if strict else np.median(distance)) == pytest.approx(1)
+        if centre == "focus":
+            near = [t - (r[:, 2] @ t) * r[:, 2] for r, t in looks]  # to the origin of the world
+            middle = np.median(np.array(near) @ found.r.T, axis=0)
+            assert found.scale * middle + found.t == pytest.approx([0, 0, 0], abs=1e-9)
+        else:
+            assert np.median(places, axis=0) == pytest.approx([0, 0, 0], abs=1e-9)
+    assert cameras._upright(np.array([0.0, 1.0, 0.0])) @ [0, 1, 0] == pytest.approx([0, -1, 0])
+    with pytest.raises(ContractError):
+        cameras.normalising(df.limit(0))
+
+
+def test_principal_frame_is_about_the_median(spark):
+    import numpy as np
+
+    from plumbline.operators import cameras
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) * [9.0, 3.0, 1.0] @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + [100, 200, 300]
+    found = cameras.principal_frame(spark.createDataFrame(x.tolist(), "x double, y double, z double"))
+    y = x @ found.r.T + found.t
+    cov = np.cov(y, rowvar=False)
+    assert np.abs(cov - np.diag(np.diag(cov))).max() < 1e-8 and (np.diff(np.diag(cov)) < 0).all()
+    assert found.r @ np.median(x, axis=0) + found.t == pytest.approx([0, 0, 0], abs=1e-9)
+    assert np.linalg.det(found.r) == pytest.approx(1)

@@ -104,9 +104,15 @@ def test_circle_section_and_overbreak(spark):
     series_ = cut.filter("station_idx BETWEEN 1 AND 9").select(F.lit("t").alias("key"), F.col("chainage").alias("s"), "area")
     got = runs.integrate(series_, ["key"], "s", "area", 2.0).first()
     assert got.volume == pytest.approx(math.pi * 6.25 * 16, rel=0.003)
-    wall = sections.wall(cloud, [], 0.0, 20.0, 2.0, 1.0, 72).filter("station_idx = 5")
-    over = volume.against_design(wall, ["station_idx"], "radius", F.lit(2.4), 72).first()
-    assert over.over == pytest.approx(math.pi * (2.5**2 - 2.4**2), rel=0.02) and over.under == 0
+    compared = volume.against_design(cut.filter("station_idx BETWEEN 1 AND 9"), [], F.lit(2.4), 72).withColumn("key", F.lit("t"))
+    five = compared.filter("station_idx = 5").first()
+    assert five.over == pytest.approx(math.pi * (2.5**2 - 2.4**2), rel=0.02) and five.under == 0
+    total = volume.design_volumes(compared, ["key"], 2.0).first()
+    assert total.over_m3 == pytest.approx(math.pi * (2.5**2 - 2.4**2) * 16, rel=0.02) and total.under_m3 == 0
+    broken = cut.withColumn("valid", F.col("valid") & (F.col("station_idx") != 4))
+    holed = volume.against_design(broken, [], F.lit(2.4), 72).withColumn("key", F.lit("t"))
+    assert holed.filter("station_idx = 4").first().over is None
+    assert volume.design_volumes(holed.filter("station_idx BETWEEN 1 AND 9"), ["key"], 2.0).first().covered == 4 + 8
 
 
 def test_station_without_points_appears(spark):
@@ -282,8 +288,16 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "points3D.txt").write_text("5 1 2 3 10 20 30 0.5 1 0 2 4\n6 1 2 3 10 20 30 0.5\n")
     pts = text_formats.read_colmap_points(spark, str(tmp_path / "points3D.txt")).orderBy("point_id").collect()
     assert [(t.image_id, t.point2d_idx) for t in pts[0].track] == [(1, 0), (2, 4)] and pts[1].track == []
-    (tmp_path / "map.csv").write_text("image,scan_id\na.jpg,S1\nb.jpg,\n")
-    assert [(r.image_ref, r.target_value) for r in text_formats.read_mapping(spark, str(tmp_path / "map.csv")).collect()] == [("a.jpg", "S1")]
+    (tmp_path / "map.csv").write_text("image_name,image_id,scan_id,station_id,note\na.jpg,,S1,,x\n,7,,T2,\n")
+    mapped = text_formats.read_mapping(spark, str(tmp_path / "map.csv")).collect()
+    assert [tuple(r) for r in mapped] == [
+        ("map.csv:line 2", "a.jpg", "image_name", "scan_id", "S1", "explicit_mapping"),
+        ("map.csv:line 3", "7", "image_id", "station_id", "T2", "explicit_mapping"),
+    ]
+    for text in ("image_name,scan_id\na.jpg,\n", "image_name,image_id,scan_id\na.jpg,1,S\n", "file,scan_id\na,S\n", "image_id,scan_id\n"):
+        (tmp_path / "bad.csv").write_text(text)
+        with pytest.raises(ContractError):
+            text_formats.read_mapping(spark, str(tmp_path / "bad.csv"))
     (tmp_path / "targets.csv").write_text("id,x,y,z\n")
     with pytest.raises(ContractError):
         text_formats.read_targets_csv(spark, str(tmp_path / "targets.csv"))
