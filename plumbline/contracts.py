@@ -57,3 +57,11 @@ def shared_folder(spark) -> str:
     if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ContractError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or tempfile.mkdtemp(prefix="plumbline-")).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -16,6 +16,8 @@ from .intervals import in_ranges, touches
 from .transforms import Vec, cross, dot, minus, norm
 
 #: Segments that are inlined as literals, which code generation unrolls; longer axes go through Arrow batches.
+#: Distances from points to segments that a worker holds at once.
+PAIRS = 1 << 20
 INLINE_SEGMENTS = 8
 
 
@@ -91,18 +93,21 @@ def stations(start: float, end: float, step: float, axis: Axis | None = None) ->
 def located(points: DataFrame, segs: DataFrame, s: str = "s") -> DataFrame:
     """Each row with the segment that its chainage, clipped to the ends, lies in.
 
-    A segment owns its start; the last one also owns its end. The axis is small and its rows are
-    counted before they are broadcast.
+    A segment owns its start; the last one also owns its end. Rows and segments meet by key, in pieces of
+    equal length of the axis, as many as it has segments; segments are broadcast only if they are counted few.
     """
     ends = segs.agg(F.min("s0").alias("_first"), F.max("s1").alias("_last"), F.count("*").alias("_n"))
     first, last, n = ends.first()
     if not n:
         raise ContractError("an axis without segments")
+    width = max((last - first) / n, 1e-9)
+    piece = lambda c: F.floor((c - first) / width).cast("long")
+    side = segs.withColumn("_piece", F.explode(F.sequence(piece(F.col("s0")), piece(F.col("s1")))))
+    side = F.broadcast(side) if n <= 100_000 else side
     clipped = F.least(F.greatest(F.col(s), F.lit(first)), F.lit(last))
-    side = F.broadcast(segs) if n <= 100_000 else segs
-    rows = points.withColumn("_s", clipped)
-    on = (F.col("_s") >= F.col("s0")) & ((F.col("_s") < F.col("s1")) | (F.col("s1") == last) & (F.col("_s") == last))
-    return rows.join(side, on)
+    rows = points.withColumn("_s", clipped).withColumn("_piece", piece(F.col("_s")))
+    inside = (F.col("_s") >= F.col("s0")) & ((F.col("_s") < F.col("s1")) | (F.col("s1") == last) & (F.col("_s") == last))
+    return rows.join(side, "_piece").filter(inside).drop("_piece")
 
 
 def _between(prefix_a: str, prefix_b: str, share: Column) -> Vec:
@@ -143,15 +148,18 @@ def _to_segment(p: Vec, row: tuple[float, ...]) -> tuple[Column, Column]:
     return dot(off, off), F.lit(s0) + share * (s1 - s0)
 
 
-def project(points: DataFrame, axis: Axis, step: float | None = None) -> DataFrame:
+def project(points: DataFrame, axis: Axis, step: float | None = None, rule: str = "segments") -> DataFrame:
     """Rows with chainage ``s`` and distance ``radial`` of the nearest place on the axis.
 
-    No row is shuffled: the axis goes to the points. All segments are tried and the least (distance, s) wins,
-    which equals the nearest-vertex rule wherever the axis bends little within a step.
+    No row is shuffled: the axis goes to the points. By the rule "segments" all segments are tried and
+    the least (distance, s) wins; by the rule "vertex" only the segments on both sides of the nearest vertex
+    (ties: the first) are, as on an axis resampled to ``step``.
     """
+    if rule not in ("segments", "vertex"):
+        raise ContractError(f"the rule is segments or vertex, not {rule}")
     axis = axis.resample(step) if step else axis
     rows = axis.rows()
-    if len(rows) <= INLINE_SEGMENTS:
+    if rule == "segments" and len(rows) <= INLINE_SEGMENTS:
         p = tuple(F.col(c) for c in "xyz")
         near = [_to_segment(p, r) for r in rows]
         tried = [F.struct(d2.alias("d2"), s.alias("s")) for d2, s in near]
@@ -160,27 +168,18 @@ def project(points: DataFrame, axis: Axis, step: float | None = None) -> DataFra
             *points.columns, F.col("_best.s").alias("s"), F.sqrt("_best.d2").alias("radial")
         )
     s, xyz = axis.s, axis.xyz
+    block = max(1, PAIRS // len(xyz))
+    place = _nearest_of_all if rule == "segments" else _nearest_by_vertex
 
     def run(batches):
         import pyarrow as pa
 
-        a, d = xyz[:-1], np.diff(xyz, axis=0)
-        dd = (d * d).sum(axis=1)
         for batch in batches:
             q = np.c_[tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz")].astype(float)
-            best_d, best_s = np.full(len(q), np.inf), np.full(len(q), np.nan)
-            for i in range(0, len(q), 2048):
-                part = q[i : i + 2048]
-                share = np.clip(((part @ d.T) - (a * d).sum(axis=1)) / dd, 0, 1)
-                off = part[:, None, :] - a[None] - d[None] * share[..., None]
-                d2 = (off**2).sum(axis=2)
-                k = d2.argmin(axis=1)
-                at = np.arange(len(part))
-                best_d[i : i + 2048] = d2[at, k]
-                best_s[i : i + 2048] = s[k] + (s[k + 1] - s[k]) * share[at, k]
+            found = [place(q[i : i + block], s, xyz) for i in range(0, len(q), block)]
+            at, off = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best_s), pa.array(np.sqrt(best_d))],
-                names=[*batch.schema.names, "s", "radial"],
+                [*batch.columns, pa.array(at), pa.array(off)], names=[*batch.schema.names, "s", "radial"]
             )
 
     from pyspark.sql import types as T
@@ -189,6 +188,31 @@ def project(points: DataFrame, axis: Axis, step: float | None = None) -> DataFra
     return points.mapInArrow(run, schema)
 
 
+def _on_segments(q: np.ndarray, k: np.ndarray, s: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, chainage) of the places of each point on its segment ``k``."""
+    a, d = xyz[k], xyz[k + 1] - xyz[k]
+    share = np.clip(((q - a) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
+    off = q - a - d * share[:, None]
+    return (off * off).sum(axis=1), s[k] + (s[k + 1] - s[k]) * share
+
+
+def _nearest_of_all(q: np.ndarray, s: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, d = xyz[:-1], np.diff(xyz, axis=0)
+    share = np.clip((q @ d.T - (a * d).sum(axis=1)) / (d * d).sum(axis=1), 0, 1)
+    d2 = sum((q[:, c, None] - a[None, :, c] - d[None, :, c] * share) ** 2 for c in range(3))
+    k = d2.argmin(axis=1)
+    at = np.arange(len(q))
+    return s[k] + (s[k + 1] - s[k]) * share[at, k], np.sqrt(d2[at, k])
+
+
+def _nearest_by_vertex(q: np.ndarray, s: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = sum((q[:, c, None] - xyz[None, :, c]) ** 2 for c in range(3)).argmin(axis=1)
+    last = len(xyz) - 2
+    before, after = _on_segments(q, np.maximum(v - 1, 0), s, xyz), _on_segments(q, np.minimum(v, last), s, xyz)
+    nearer = after[0] < before[0]
+    return np.where(nearer, after[1], before[1]), np.sqrt(np.where(nearer, after[0], before[0]))
+
+
 def located_ok(s: Column, radial: Column, first: float, last: float, most: float = 10.0) -> Column:
     """Finite, near the axis and not at or past its ends."""
     return F.coalesce(~F.isnan(s) & (radial <= most) & (s > first) & (s < last), F.lit(False))

@@ -28,31 +28,35 @@ def hamming(a: Column, b: Column) -> Column:
 def select_frames(frames: DataFrame, keys: Sequence[str], order_by: Sequence[str], blur: str, hash_col: str, least_blur: float, most_distance: int, most: int | None = None) -> DataFrame:
     """Every frame with ``keep, reason``: blurred, then duplicate of the last kept one, then over the cap.
 
-    The decision depends on the last kept frame, so it is a fold over the ordered frames of a
-    source, done by one aggregate without Python; only frames that are not blurred enter it.
+    The decision depends on the last kept frame, so the frames of a source are walked in order by one task,
+    which keeps no more than that frame and a count; only frames that are not blurred enter it.
     """
-    entry = F.struct(*[F.col(c) for c in order_by], F.col(hash_col).cast("long").alias("_h"))
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
     sharp = F.col(blur) >= least_blur
-    ordered = F.array_sort(F.collect_list(F.when(sharp, entry)))
-    state = "struct<last:bigint,kept:int,out:array<struct<i:int,reason:string>>>"
-    start = F.from_json(F.lit('{"kept":0,"out":[]}'), state)
+    names = [*keys, *order_by]
+    fields = [T.StructField(f"_{i}", frames.schema[c].dataType) for i, c in enumerate(names)]
 
-    def step(acc, e):
-        near = acc.last.isNotNull() & (hamming(acc.last, e._h) <= most_distance)
-        full = (acc.kept >= most) if most is not None else F.lit(False)
-        reason = F.when(near, "duplicate").when(full, "max_frames").otherwise("keep")
-        taken = reason == "keep"
-        return F.struct(
-            F.when(taken, e._h).otherwise(acc.last).alias("last"),
-            (acc.kept + taken.cast("int")).alias("kept"),
-            F.concat(acc.out, F.array(F.struct(F.size(acc.out).alias("i"), reason.alias("reason")))).alias("out"),
-        ).cast(state)
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(f"_{i}", "ascending") for i in range(len(keys), len(names))])
+        last, kept, reasons = None, 0, []
+        for h in group.column("_h").to_pylist():
+            if last is not None and h is not None and ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most_distance:
+                reasons.append("duplicate")
+            elif most is not None and kept >= most:
+                reasons.append("max_frames")
+            else:
+                reasons.append("keep")
+                last, kept = h, kept + 1
+        return group.drop_columns("_h").append_column("_r", pa.array(reasons, pa.string()))
 
-    folded = frames.groupBy(*keys).agg(ordered.alias("_frames"))
-    decided = folded.select(*keys, "_frames", F.aggregate("_frames", start, step).alias("_state")).select(
-        *keys, F.explode(F.arrays_zip("_frames", F.col("_state.out").alias("out"))).alias("e")
+    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
+    rows = frames.filter(sharp).select(*own, F.col(hash_col).cast("long").alias("_h"))
+    decided = rows.groupBy(*[f"_{i}" for i in range(len(keys))]).applyInArrow(
+        walk, T.StructType([*fields, T.StructField("_r", T.StringType())])
     )
-    decided = decided.select(*keys, *[F.col(f"e._frames.{c}").alias(c) for c in order_by], F.col("e.out.reason").alias("_r"))
+    decided = decided.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "_r")
     joined = frames.join(decided, [*keys, *order_by], "left")
     reason = F.when(sharp, F.col("_r")).otherwise("blurred")
     return joined.select(*frames.columns, (reason == "keep").alias("keep"), reason.alias("reason"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import ContractError
+from ..contracts import ContractError, stored
 
 
 def _cell(size: float, shift: int = 0) -> list[Column]:
@@ -48,14 +48,17 @@ def nearest(queries: DataFrame, reference: DataFrame, bound: float) -> DataFrame
 
 
 def nearest_unbounded(queries: DataFrame, reference: DataFrame, first: float, rounds: int = 40) -> DataFrame:
-    """Like :func:`nearest` without a bound: what finds nothing is tried again with twice the bound."""
+    """Like :func:`nearest` without a bound: what finds nothing is tried again with twice the bound.
+
+    What a round finds and what it leaves is stored, so no round is computed again by a later one.
+    """
     if reference.isEmpty():
         raise ContractError("no reference points")
     left, out, bound = queries, None, first
     for _ in range(rounds):
-        found = nearest(left, reference, bound).filter(F.col("ref_id").isNotNull())
+        found = stored(nearest(left, reference, bound).filter(F.col("ref_id").isNotNull()))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("id"), "id", "left_anti")
+        left = stored(left.join(found.select("id"), "id", "left_anti"))
         if left.isEmpty():
             return out
         bound *= 2

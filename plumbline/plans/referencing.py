@@ -56,6 +56,31 @@ def axis_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {data.SEGMENTS}, {data.TUNNEL},
+ends AS (SELECT min(s0) AS first_, max(s1) AS last_, greatest(2, ceil((max(s1) - min(s0)) / 0.25)::BIGINT + 1) AS n FROM segs),
+places AS (SELECT i, CASE WHEN i = n - 1 THEN last_ ELSE first_ + i * ((last_ - first_) / (n - 1)) END AS s, last_ FROM ends, range((SELECT n FROM ends)) t(i)),
+verts AS (SELECT p.i, p.s, ax + (bx - ax) * (p.s - s0) / (s1 - s0) AS x, ay + (by_ - ay) * (p.s - s0) / (s1 - s0) AS y, az + (bz - az) * (p.s - s0) / (s1 - s0) AS z
+  FROM places p JOIN segs ON p.s >= s0 AND (p.s < s1 OR s1 = last_ AND p.s >= last_)),
+fine AS (SELECT i, s AS s0, lead(s) OVER w AS s1, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM verts WINDOW w AS (ORDER BY i)),
+pts AS (SELECT row_number() OVER () AS rid, l_orderkey, x, y, z FROM tunnel),
+near AS (SELECT rid, arg_min(v.i, struct_pack(d := (p.x - v.x) ** 2 + (p.y - v.y) ** 2 + (p.z - v.z) ** 2, i := v.i)) AS v FROM pts p, verts v GROUP BY rid),
+f AS (SELECT p.*, s0, s1, ax, ay, az, bx, by_, bz, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay) + (z - az) * (bz - az)) /
+  ((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2), 0), 1) AS t FROM pts p JOIN near USING (rid) JOIN fine ON fine.i IN (near.v - 1, near.v) AND s1 IS NOT NULL),
+d AS (SELECT rid, l_orderkey, (x - ax - (bx - ax) * t) ** 2 + (y - ay - (by_ - ay) * t) ** 2 + (z - az - (bz - az) * t) ** 2 AS d2, s0 + (s1 - s0) * t AS sp FROM f),
+best AS (SELECT rid, min(l_orderkey) AS o, min(struct_pack(d2 := d2, sp := sp)) AS b FROM d GROUP BY rid)
+SELECT o % 100 AS bucket, count(*) AS n, round(sum(b.sp), 4) AS s, round(sum(sqrt(b.d2)), 4) AS radial FROM best GROUP BY 1"""
+)
+def axis_project_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection by the nearest vertex of the axis resampled to a quarter of a metre."""
+    line = axis.Axis.collect(data.vertices(spark, sf_dir), "k")
+    points = data.tunnel(spark, sf_dir).drop("s")
+    rows = axis.project(points, line, step=0.25, rule="vertex")
+    return rows.groupBy((F.col("l_orderkey") % 100).alias("bucket")).agg(
+        F.count("*").alias("n"), F.round(F.sum("s"), 4).alias("s"), F.round(F.sum("radial"), 4).alias("radial")
+    )
+
+
 @query(
     f"""WITH {data.CLOUD}, bins AS (SELECT floor(x / 0.5)::BIGINT AS bin, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z
 FROM cloud GROUP BY 1 HAVING count(*) >= 20),

@@ -143,3 +143,32 @@ def test_principal_frame_is_about_the_median(spark):
     assert np.abs(cov - np.diag(np.diag(cov))).max() < 1e-8 and (np.diff(np.diag(cov)) < 0).all()
     assert found.r @ np.median(x, axis=0) + found.t == pytest.approx([0, 0, 0], abs=1e-9)
     assert np.linalg.det(found.r) == pytest.approx(1)
+
+
+def test_projection_rules_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    line = axis.Axis(np.arange(40.0), np.c_[np.arange(40.0), np.zeros(40), np.zeros(40)])
+    q = np.c_[rng.uniform(-3, 45, 300), rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(q.tolist(), "x double, y double, z double")
+    want = {tuple(p): (min(max(p[0], 0), 39), float(np.linalg.norm(p - [min(max(p[0], 0), 39), 0, 0]))) for p in q}
+    for rule in ("segments", "vertex"):
+        for pairs in (1 << 20, 100):
+            monkeypatch.setattr(axis, "PAIRS", pairs)
+            got = axis.project(df, line, rule=rule).collect()
+            assert len(got) == 300
+            for r in got:
+                assert (r.s, r.radial) == pytest.approx(want[(r.x, r.y, r.z)])
+    with pytest.raises(ContractError):
+        axis.project(df, line, rule="nearest")
+
+
+def test_frames_are_walked_in_linear_time(spark):
+    from plumbline.operators import frames_select
+
+    rows = [(1, i, 50.0, i % 7 * 1_000_003) for i in range(30_000)] + [(2, 0, 1.0, 5), (None, 3, 90.0, -1), (None, 4, 90.0, -2)]
+    df = spark.createDataFrame(rows, "source long, seq long, blur double, hash long")
+    got = {(r.source, r.seq): (r.keep, r.reason) for r in frames_select.select_frames(df, ["source"], ["seq"], "blur", "hash", 10.0, 0, most=100).collect()}
+    assert len(got) == len(rows) and got[(2, 0)] == (False, "blurred")
+    assert sum(k for (s, _), (k, _) in got.items() if s == 1) == 100 and got[(1, 101)][1] == "max_frames"
