@@ -26,6 +26,30 @@ def union(df: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", sl
     )
 
 
+def union_known(df: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``known, lo, hi``: merged intervals of each key, those of no length kept; intervals that touch are one.
+
+    A row without ends is an unknown extent, which makes the whole key unknown: one row without ends.
+    """
+    order = Window.partitionBy(*keys).orderBy(lo, hi)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.col(lo).isNull() | F.col(hi).isNull()
+    unknown = df.groupBy(*keys).agg(F.bool_or(none).alias("_unknown"))
+    opens = F.coalesce(F.col(lo) > F.max(hi).over(before), F.lit(True))
+    merged = (
+        df.filter(~none)
+        .withColumn("_opens", opens.cast("int"))
+        .withColumn("_island", F.sum("_opens").over(order))
+        .groupBy(*keys, "_island")
+        .agg(F.min(lo).alias(lo), F.max(hi).alias(hi))
+        .drop("_island")
+    )
+    whole = merged.join(unknown.filter("NOT _unknown"), list(keys)).select(*keys, F.lit(True).alias("known"), lo, hi)
+    nothing = F.lit(None).cast("double")
+    poisoned = unknown.filter("_unknown").select(*keys, F.lit(False).alias("known"), nothing.alias(lo), nothing.alias(hi))
+    return _union(whole, poisoned, keys)
+
+
 def _union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union whose keys pass through it as one struct.
 

@@ -36,6 +36,32 @@ def coverage(series: DataFrame, ranges: DataFrame, keys: Sequence[str], s: str,
     )
 
 
+def coverage_detail(
+    series: DataFrame, covered: DataFrame, keys: Sequence[str], s: str, empty: str, thickness: float, bins: int
+) -> DataFrame:
+    """``stations, sampled, sampled_fraction, interpolated`` of each key's covered intervals: stations in them, the
+    length that their slabs cover (united, cut to the covered), its share, and the share of angle bins that are empty.
+
+    Keys that cover nothing have 0 in all.
+    """
+    merged = intervals.union(covered, keys)
+    inside = clipped_to(series, covered, keys, s)
+    half = thickness / 2
+    slabs = inside.select(*keys, (F.col(s) - half).alias("lo"), (F.col(s) + half).alias("hi"))
+    length = lambda df, name: intervals.total_length(df, keys).select(*keys, F.col("length").alias(name))
+    counted = inside.groupBy(*keys).agg(F.count("*").alias("stations"), F.sum(empty).alias("empty"))
+    out = series.select(*keys).distinct().join(counted, list(keys), "left").join(length(merged, "whole"), list(keys), "left")
+    out = out.join(length(intervals.intersect(slabs, merged, keys), "sampled"), list(keys), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(
+        *keys,
+        F.coalesce("stations", F.lit(0)).alias("stations"),
+        zero(F.col("sampled")).alias("sampled"),
+        zero(F.try_divide("sampled", "whole")).alias("sampled_fraction"),
+        zero(F.try_divide("empty", F.col("stations") * bins)).alias("interpolated"),
+    )
+
+
 def against_design(series: DataFrame, keys: Sequence[str], design: Column, bins: int) -> DataFrame:
     """``chainage, area, over, under`` of every station of :func:`.sections.sections`: areas of the sectors
     over and under the design radius, with gaps in the wall filled around the circle; NULL where the section is

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import data
 from ..contracts import shared_folder
-from ..operators import axis, points, raster
+from ..operators import axis, intervals, points, raster, runs, staging, volume
 from ..sources import text_formats
 from ..streaming import coverage as stream
 from .geometry import _CAMERA, _KEYS, _seen
@@ -199,3 +199,78 @@ def bounds_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy((F.col("l_suppkey") % 8).alias("scan")).agg(
         F.count("*").alias("n"), F.count_if(points.valid_bounds(lo, hi)).alias("ok")
     )
+
+
+@query(
+    f"""WITH {data.series_sql('o_orderpriority')}, {data.runs_sql('series', 'area')},
+ins AS (SELECT r.key, r.s, r.n, g.lo AS glo, g.hi AS ghi FROM series r JOIN segments g ON r.key = g.key AND r.s BETWEEN g.lo AND g.hi),
+slabs AS (SELECT key, s - 0.75 AS lo, s + 0.75 AS hi FROM ins), {data.union_sql('slabs', 'slab_u')},
+cut AS (SELECT u.key, sum(least(u.hi, g.hi) - greatest(u.lo, g.lo)) AS sampled FROM slab_u u JOIN segments g ON u.key = g.key AND u.lo < g.hi AND u.hi > g.lo GROUP BY 1),
+c AS (SELECT key, count(*) AS stations, sum(n % 5) AS empty_ FROM ins GROUP BY 1), w AS (SELECT key, sum(hi - lo) AS whole FROM segments GROUP BY 1)
+SELECT k.key, coalesce(stations, 0) AS stations, coalesce(round(sampled, 6), 0) AS sampled, coalesce(round(sampled / whole, 6), 0) AS sampled_fraction,
+  coalesce(round(empty_ / (stations * 12), 6), 0) AS interpolated FROM (SELECT DISTINCT key FROM series) k LEFT JOIN c USING (key) LEFT JOIN w USING (key) LEFT JOIN cut USING (key)"""
+)
+def coverage_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of what is integrated the slabs saw, and how much of the walls is filled in."""
+    rows = data.series(spark, sf_dir, "o_orderpriority").withColumn("empty", F.col("n") % 5)
+    covered = runs.segments(rows, ["key"], "s", "area", 1.0).select("key", "lo", "hi")
+    out = volume.coverage_detail(rows, covered, ["key"], "s", "empty", 1.5, 12)
+    return out.select("key", "stations", r6("sampled"), r6("sampled_fraction"), r6("interpolated"))
+
+
+@query(
+    """WITH i AS (SELECT l_suppkey AS key, CASE WHEN l_orderkey % 997 <> 0 THEN l_partkey::DOUBLE END AS lo, l_partkey + (l_quantity % 3) AS hi FROM lineitem),
+p AS (SELECT key, bool_or(lo IS NULL) AS unknown_ FROM i GROUP BY 1),
+m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM i WHERE lo IS NOT NULL),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT key, true AS known, min(lo) AS lo, max(hi) AS hi FROM g JOIN p USING (key) WHERE NOT unknown_ GROUP BY key, island
+UNION ALL SELECT key, false, NULL, NULL FROM p WHERE unknown_"""
+)
+def interval_union_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supports of lines; a supplier with a line of unknown extent is unknown."""
+    li = data.table(spark, sf_dir, "lineitem")
+    lo = F.col("l_partkey").cast("double")
+    rows = li.select(
+        F.col("l_suppkey").alias("key"), F.when(F.col("l_orderkey") % 997 != 0, lo).alias("lo"), (lo + F.col("l_quantity") % 3).alias("hi")
+    )
+    return intervals.union_known(rows, ["key"])
+
+
+@query(
+    """WITH t AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_name) - 1 AS i, count(*) OVER () AS n FROM supplier WHERE s_suppkey % 5 <> 0),
+k AS (SELECT DISTINCT round_even(j * (n - 1) / 19::DOUBLE, 0)::INTEGER AS i FROM (SELECT any_value(n) AS n FROM t), range(20) r(j)),
+chosen AS (SELECT s_suppkey FROM t JOIN k USING (i)),
+o AS (SELECT l_orderkey, count(*) FILTER (l_suppkey IN (SELECT s_suppkey FROM chosen)) AS kept, count(*) AS seen FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS point_id, coalesce(kept, 0) AS kept, least(greatest(o_orderkey % 256, 1), 254) AS r, least(greatest(o_custkey % 256, 1), 254) AS g
+FROM orders JOIN o ON o_orderkey = l_orderkey"""
+)
+def staging_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose tracks are cut to twenty evenly picked train images."""
+    k = F.col("s_suppkey")
+    role = F.when(k % 5 != 0, "train").otherwise("test")
+    images = data.table(spark, sf_dir, "supplier").select(k.alias("image_id"), F.col("s_name").alias("name"), (k % 3).alias("camera_id"), role.alias("role"))
+    seen = data.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("point_id")).agg(
+        F.collect_list(F.struct(F.col("l_suppkey").alias("image_id"), F.col("l_linenumber").alias("at"))).alias("track")
+    )
+    colours = data.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 256).alias("r"), (F.col("o_custkey") % 256).alias("g"), F.lit(300).alias("b")
+    )
+    chosen, _ = staging.staged_images(images, images.select("camera_id").distinct(), 20)
+    out = staging.staged_points(colours.join(seen, "point_id"), chosen)
+    return out.select("point_id", F.size("track").cast("long").alias("kept"), "r", "g")
+
+
+@query(
+    """SELECT s_suppkey AS run, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 11 <> 5 THEN s_acctbal END AS rmse, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey::DOUBLE END AS inliers,
+  concat_ws('; ', CASE WHEN s_suppkey % 4 = 0 THEN 'rmse: not recorded' WHEN s_suppkey % 11 = 5 THEN 'rmse: contradictory' END, CASE WHEN s_suppkey % 3 = 0 THEN 'inliers: no targets' END) AS absent FROM supplier"""
+)
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of runs side by side, with the reason where there is none."""
+    k = F.col("s_suppkey")
+    rows = data.table(spark, sf_dir, "supplier")
+    line = lambda name, value, reason: (k.alias("run"), F.lit(name).alias("metric"), value.cast("double").alias("value"), reason.cast("string").alias("reason"))
+    none = F.lit(None)
+    rmse = rows.filter(k % 4 != 0).select(*line("rmse", F.col("s_acctbal"), none))
+    other = rows.filter((k % 11 == 5) & (k % 4 != 0)).select(*line("rmse", F.col("s_acctbal") + 1, none))
+    inliers = rows.select(*line("inliers", F.when(k % 3 != 0, k), F.when(k % 3 == 0, "no targets")))
+    return staging.report(rmse.unionByName(other).unionByName(inliers), ["run"], ["rmse", "inliers"])
