@@ -137,7 +137,7 @@ def union_sql(source: str, out: str) -> str:
     return f"""
 {out}_m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-9
                   THEN 0 ELSE 1 END AS opens FROM {source} WHERE hi - lo > 1e-9),
-{out}_i AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM {out}_m),
+{out}_i AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY lo, hi) AS island FROM {out}_m),
 {out} AS (SELECT key, min(lo) AS lo, max(hi) AS hi FROM {out}_i GROUP BY key, island)"""
 
 

@@ -31,12 +31,12 @@ def axis_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.read_axis_csv(spark, path).select(F.col("vertex").cast("int").alias("vertex"), *[r6(c) for c in "xyzs"])
 
 
-@query("SELECT 'T' || s_suppkey AS id, s_suppkey / 4::DOUBLE AS x, s_acctbal AS y, -s_suppkey::DOUBLE AS z FROM supplier")
+@query("SELECT 'T' || s_suppkey AS id, s_suppkey / 4::DOUBLE AS x, s_acctbal AS y, s_suppkey / 8::DOUBLE AS z FROM supplier")
 def targets_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark, "targets")
     k = F.col("s_suppkey")
     rows = data.table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("T"), k).alias("id"), (k / 4).alias("x"), F.col("s_acctbal").alias("y"), (-k).cast("double").alias("z")
+        F.concat(F.lit("T"), k).alias("id"), (k / 4).alias("x"), F.col("s_acctbal").alias("y"), (k / 8).alias("z")
     )
     rows.write.csv(path, header=True)
     return text_formats.read_targets_csv(spark, path)
@@ -222,7 +222,7 @@ def coverage_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH i AS (SELECT l_suppkey AS key, CASE WHEN l_orderkey % 997 <> 0 THEN l_partkey::DOUBLE END AS lo, l_partkey + (l_quantity % 3) AS hi FROM lineitem),
 p AS (SELECT key, bool_or(lo IS NULL) AS unknown_ FROM i GROUP BY 1),
 m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM i WHERE lo IS NOT NULL),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
+g AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY lo, hi) AS island FROM m)
 SELECT key, true AS known, min(lo) AS lo, max(hi) AS hi FROM g JOIN p USING (key) WHERE NOT unknown_ GROUP BY key, island
 UNION ALL SELECT key, false, NULL, NULL FROM p WHERE unknown_"""
 )
