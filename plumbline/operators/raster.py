@@ -185,10 +185,16 @@ def turbo_like(t: Column) -> tuple[Column, Column, Column]:
 
 def painted(seen: DataFrame, value: str, order_by: Sequence[str] = (), keys: Sequence[str] = ("camera_id",)) -> DataFrame:
     """``row, col`` and the value of the nearest row of each pixel, as if painted from far to near; ties by
-    ``order_by``. The rows of a pixel are combined before the shuffle."""
-    return seen.groupBy(
-        *keys, F.floor("v").cast("int").alias("row"), F.floor("u").cast("int").alias("col")
-    ).agg(F.min_by(value, F.struct("depth", *order_by)).alias(value))
+    ``order_by``. The least depth of a pixel is a plain hash aggregate; only rows at it are compared as
+    whole rows."""
+    pixel = [*keys, "row", "col"]
+    placed = seen.select(
+        "*", F.floor("v").cast("int").alias("row"), F.floor("u").cast("int").alias("col")
+    )
+    least = placed.groupBy(*pixel).agg(F.min("depth").alias("_z"))
+    side = F.broadcast(least) if least.count() <= MOST_CELLS else least
+    front = placed.join(side, pixel).filter(F.col("depth") == F.col("_z"))
+    return front.groupBy(*pixel).agg(F.min_by(value, F.struct(*order_by) if order_by else F.col(value)).alias(value))
 
 
 def nadir_mask(direction: tuple[Column, Column, Column], least_elevation: float) -> Column:
