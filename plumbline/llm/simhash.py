@@ -131,26 +131,12 @@ def stars(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _bucket_links(radius: int):
     def run(batches):
-        """Rows come sorted by bucket; a bucket may go on in the next batch."""
-        held_key, held = None, []
+        """Each row is a whole bucket."""
         for batch in batches:
-            tables = batch.column("t").to_numpy(zero_copy_only=False)
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            prints = batch.column("fp").to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (tables[1:] != tables[:-1])) + 1
             out = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                key = (tables[a], keys[a])
-                if key != held_key and held:
-                    out += stars(np.concatenate(held), radius)
-                    held = []
-                held_key = key
-                held.append(prints[a:b])
+            for members in batch.column("members"):
+                out += stars(members.values.to_numpy(zero_copy_only=False), radius)
             yield _edges(out)
-        if held:
-            yield _edges(stars(np.concatenate(held), radius))
 
     return run
 
@@ -202,8 +188,9 @@ def links(prints: DataFrame, radius: int = 3, bucket_limit: int = 4096) -> DataF
             fuller = F.when(F.col("t") == i, choices).otherwise(fuller)
         again = keyed.join(hot, ["t", "key"]).select("fp", F.explode(fuller).alias("at"))
         cold = cold.unionByName(again.select("at.t", "at.key", "fp"))
-    dealt = cold.repartition("t", "key").sortWithinPartitions("t", "key")
-    return in_arrow(dealt, _bucket_links(radius), "a long, b long").distinct()
+    # grouped, so that no plan may take a bucket apart
+    buckets = cold.groupBy("t", "key").agg(F.collect_list("fp").alias("members")).select("members")
+    return in_arrow(buckets, _bucket_links(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -82,6 +82,34 @@ def test_no_link_is_lost_in_hot_buckets(spark, limit):
     assert groups(got) == groups(want)
 
 
+def test_no_bucket_is_taken_apart_by_skew_splits(spark):
+    random.seed(9)
+    centres = [random.getrandbits(64) for _ in range(40)]
+    values = {c ^ 1 << a ^ 1 << b for c in centres for a in range(6) for b in range(6)}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.01",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long").repartition(8)
+        found = {(r.a, r.b) for r in simhash.links(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    keys = {}
+    for m in simhash.covering_masks(3, list(range(64))):
+        for v in values:
+            keys.setdefault((m, v & m), []).append(simhash.signed(v))
+    assert found == {e for x in keys.values() for e in simhash.stars(np.array(x), 3)}
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
