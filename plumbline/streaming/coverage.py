@@ -85,14 +85,26 @@ def frame_dedup(events: DataFrame, least_blur: float, most_distance: int) -> Dat
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a query over all that its source has now and returns its result table."""
+    """Runs a query over all that its source has now and returns its result table.
+
+    Each micro-batch is written to the shared folder by the executors, so the driver holds no rows. Mode
+    ``complete`` leaves the last batch, which is the whole result; otherwise all batches together are.
+    """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    written = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{place}/result/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            written.clear()
+        written[number] = path
+
     query = (
         stream.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", f"{shared_folder(spark)}/{name}")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{place}/progress")
         .trigger(availableNow=True)
         .start()
     )
@@ -100,4 +112,6 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*written.values())

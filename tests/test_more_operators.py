@@ -172,3 +172,17 @@ def test_frames_are_walked_in_linear_time(spark):
     got = {(r.source, r.seq): (r.keep, r.reason) for r in frames_select.select_frames(df, ["source"], ["seq"], "blur", "hash", 10.0, 0, most=100).collect()}
     assert len(got) == len(rows) and got[(2, 0)] == (False, "blurred")
     assert sum(k for (s, _), (k, _) in got.items() if s == 1) == 100 and got[(1, 101)][1] == "max_frames"
+
+
+def test_stream_results_stay_off_the_driver(spark, tmp_path):
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).write.parquet(f"{tmp_path}/in/{i}")
+    rows = spark.readStream.schema("id long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    rows = rows.parquet(f"{tmp_path}/in")
+    done = coverage.run_to_end(rows, "append")
+    assert sorted(r.id for r in done.collect()) == list(range(30)) and done.inputFiles()
+    counts = coverage.run_to_end(rows.groupBy((F.col("id") % 2).alias("k")).count(), "complete")
+    assert sorted(map(tuple, counts.collect())) == [(0, 15), (1, 15)] and counts.inputFiles()
+    (tmp_path / "empty").mkdir()
+    nothing = spark.readStream.schema("id long").parquet(f"{tmp_path}/empty")
+    assert coverage.run_to_end(nothing, "append").count() == 0
