@@ -65,10 +65,30 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions on DataFrames made within leave no shuffle files behind.
+
+    Spark keeps them until the driver happens to collect its garbage, so that a loop of small steps
+    fills the disk with files that nothing reads again. A shuffle that is asked for again is computed again.
+    """
+    conf = spark.conf
+    before = conf.get(_CLEANUP_SETTING, None)
+    conf.set(_CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        conf.unset(_CLEANUP_SETTING) if before is None else conf.set(_CLEANUP_SETTING, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a replicated copy in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with short_lived_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -80,7 +100,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     empty = {c for c, kind in df.dtypes if kind == "void"}
     held = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in empty]) if empty else df
-    held.write.parquet(path)
+    with short_lived_shuffles(spark):
+        held.write.parquet(path)
     found = spark.read.schema(held.schema).parquet(path)
     if not empty:
         return found
@@ -90,7 +111,9 @@ def stored(df: DataFrame) -> DataFrame:
 def joined(rows: DataFrame, small: DataFrame, on, how: str = "left", most: int = 100_000) -> DataFrame:
     """Join with a table of few rows, one for each source or site: counted, and broadcast only up to
     ``most`` rows; beyond, Spark joins by key and splits hot keys at run time."""
-    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
+    with short_lived_shuffles(small.sparkSession):
+        few = small.count() <= most
+    return rows.join(F.broadcast(small) if few else small, on, how)
 
 
 def occurrences(rows: DataFrame, which: list[str], name: str = "nth") -> DataFrame:

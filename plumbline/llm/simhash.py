@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, checkpointed, in_arrow, joined, slices, stored, text_bytes, without
+from .common import aside, checkpointed, in_arrow, joined, short_lived_shuffles, slices, stored, text_bytes, without
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 50_000
@@ -215,9 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        now = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
-        ).first()
+        with short_lived_shuffles(edges.sparkSession):
+            now = edges.agg(
+                F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
+            ).first()
         if now == before:
             return edges.select(
                 F.col("a").alias("node"), F.col("b").alias("root")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -56,3 +57,22 @@ def test_stage_leaves_no_near_copies_of_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()}
     assert got == slow_survivors(texts)
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    rows = [(i, f"{chr(97 + i % 20)} b c d e f g h {i % 60}") for i in range(200)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = shuffle_files(spark)
+    found = near_copies.groups(near_copies.with_sketch(rows, "text", 5), "text", 5, 0.5)
+    for _ in range(50):  # removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert found.columns == ["node", "root"] and not left
