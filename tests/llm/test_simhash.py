@@ -136,3 +136,32 @@ def test_edges_of_the_table(spark):
     left = simhash.deduplicated(df)
     assert left.columns == df.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(5, "a b c d"), (2, "q r s t"), (None, "only null id")]))
+
+
+def test_components_of_near_copies_under_skew_splits(spark):
+    random.seed(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(8):
+        parts = random.choices(words, k=500)
+        for _ in range(30):
+            parts[random.randrange(len(parts))] = random.choice(words)
+            texts.append(" ".join(parts))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.01",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == slow_components({i: slow_print(t) for i, t in enumerate(texts)})
